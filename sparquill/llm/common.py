@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..runtime import ship
+
 #: Text bytes handled at once as Python strings.
 BLOCK_BYTES = 1 << 21
 
@@ -93,5 +95,6 @@ def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.Arr
             new = make(batch)
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in kept] + [new[k] for k in names], names=kept + names)
 
+    ship(df.sparkSession)
     schema = T.StructType([df.schema[k] for k in kept] + fields)
     return df.mapInArrow(run, schema)
