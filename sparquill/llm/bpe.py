@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Ids, add_columns, blocks, ragged, strings
+from .common import BLOCK_BYTES, Ids, add_columns, blocks, ragged, strings
 
 CACHE = 300_000
 NONE = np.int32(2**31 - 1)
@@ -292,7 +292,7 @@ def encode(df: DataFrame, vocab_path: str | None = None, text_col: str = "text")
         lengths = np.diff(ids.offsets.to_numpy()).astype(np.int64)
         return {"token_ids": ids, "n_tokens": pa.array(lengths, mask=ids.is_null().to_numpy(zero_copy_only=False))}
 
-    return add_columns(df, make, [T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType())])
+    return add_columns(df, make, [T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType())], text_col, 8 * BLOCK_BYTES)
 
 
 def decode_ids(ids: pa.Array, vocab: Vocabulary) -> pa.Array:
@@ -327,7 +327,7 @@ def decode(df: DataFrame, vocab_path: str | None = None, ids_col: str = "token_i
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         return {"decoded": decode_ids(batch.column(ids_col), vocabulary(path))}
 
-    return add_columns(df, make, [T.StructField("decoded", T.StringType())])
+    return add_columns(df, make, [T.StructField("decoded", T.StringType())], ids_col, 8 * BLOCK_BYTES)
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:

@@ -36,8 +36,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges whose texts take up to ``limit`` bytes; a longer text stands alone, whole."""
-    offsets, _ = utf8(column)
+    """Row ranges whose texts (or lists) take up to ``limit`` bytes; a longer one stands alone, whole."""
+    if pa.types.is_list(column.type):
+        offsets = column.offsets.to_numpy().astype(np.int64) * 8
+    else:
+        offsets, _ = utf8(column)
     n, at = len(offsets) - 1, 0
     while at < n:
         end = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
@@ -81,19 +84,23 @@ def unit(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
-def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.Array]], fields: list[T.StructField], drop: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` and the columns that ``make`` gives for each Arrow batch.
+def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.Array]], fields: list[T.StructField], by: str = "text", limit: int = 2 * BLOCK_BYTES) -> DataFrame:
+    """``df`` and the columns that ``make`` gives for each part of an Arrow batch.
 
-    An input column that has the name of a new one (in any case of letters) gives way to it.
+    A part is so many rows that the texts in column ``by`` take up to ``limit`` bytes, one row at least: what a worker
+    holds doesn't grow with the batch. An input column that has the name of a new one (in any case of letters) gives
+    way to it.
     """
-    taken = {f.name.lower() for f in fields} | {c.lower() for c in drop}
+    taken = {f.name.lower() for f in fields}
     kept = [f.name for f in df.schema.fields if f.name.lower() not in taken]
     names = [f.name for f in fields]
 
     def run(batches):
         for batch in batches:
-            new = make(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in kept] + [new[k] for k in names], names=kept + names)
+            for a, b in blocks(batch.column(by), limit):
+                part = batch.slice(a, b - a)
+                new = make(part)
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in kept] + [new[k] for k in names], names=kept + names)
 
     ship(df.sparkSession)
     schema = T.StructType([df.schema[k] for k in kept] + fields)

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import add_columns, mix64, strings, unit
 
 SAMPLES = 64
-CACHE = 120_000
+CACHE = 80_000
 #: Rows gathered at once for a document: a longer one is handled in parts, whole.
 PART = 8192
 _WORD = re.compile(r"\w+")
@@ -128,7 +128,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", samples: int = SAMPLES
         flat = np.concatenate(some) if some else np.zeros(0, np.int64)
         return {"fingerprint": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()), mask=mask)}
 
-    return add_columns(docs, make, [T.StructField("fingerprint", T.ArrayType(T.LongType(), False))])
+    return add_columns(docs, make, [T.StructField("fingerprint", T.ArrayType(T.LongType(), False))], text_col)
 
 
 def similarity(a, b) -> F.Column:

@@ -100,7 +100,7 @@ def signatures(docs: DataFrame, text_col: str = "text") -> DataFrame:
             _SIGNER.append(Signer())
         return {"signature": pa.array(_SIGNER[0].sign(strings(batch.column(text_col))), pa.binary())}
 
-    return add_columns(docs, make, [T.StructField("signature", T.BinaryType())])
+    return add_columns(docs, make, [T.StructField("signature", T.BinaryType())], text_col)
 
 
 # --- the trie self-join ---------------------------------------------------------------------------

@@ -133,7 +133,7 @@ def token_counts(docs: DataFrame, vocab_path: str | None = None, text_col: str =
             out += own.counts(texts.slice(k, _BLOCK).to_pylist())
         return {"n_tokens": pa.array(out, pa.int64())}
 
-    return add_columns(docs, make, [T.StructField("n_tokens", T.LongType())])
+    return add_columns(docs, make, [T.StructField("n_tokens", T.LongType())], text_col)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

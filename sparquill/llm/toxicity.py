@@ -212,7 +212,7 @@ def toxicity(docs: DataFrame, terms: tuple[str, ...] = BASE, known: frozenset[st
         return {"toxic_score": pa.array(cols[0], pa.float64()), "n_hits": pa.array(cols[1], pa.int32()), "n_misspelled": pa.array(cols[2], pa.int32()), "n_quoted": pa.array(cols[3], pa.int32()), "toxic": pa.array([bool(r) and r[0] >= threshold for r in rows], pa.bool_())}
 
     fields = [T.StructField("toxic_score", T.DoubleType()), *(T.StructField(c, T.IntegerType()) for c in ("n_hits", "n_misspelled", "n_quoted")), T.StructField("toxic", T.BooleanType())]
-    return add_columns(docs, make, fields)
+    return add_columns(docs, make, fields, text_col)
 
 
 def learn_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_TOXIC) -> tuple[tuple[str, ...], frozenset[str]]:
