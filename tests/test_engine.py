@@ -158,3 +158,41 @@ def test_stream_windows(spark, small, tmp_path):
     q = index.windowed_counts(stream).writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("windowed").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_splitters(spark):
+    from sparquill.operators import splitters
+
+    text = "One two three. Four five six seven. Eight nine ten eleven twelve. Thirteen. " * 9
+    spans = splitters.snapped(text, splitters.sentence_ends(text), 12, 0, 0.5)
+    assert "".join(text[a:b] for a, b in spans) == text and all(text[a:b].strip().endswith(".") for a, b in spans)
+    assert all(len(text[a:b].split()) <= 12 for a, b in spans)
+    over = splitters.snapped(text, splitters.sentence_ends(text), 12, 4, 0.5)
+    assert all(b1 >= a2 > a1 for (a1, b1), (a2, _) in zip(over, over[1:])) and over[-1][1] == len(text)
+    code = "x = f(1,\n  2)\ny = 3\n"
+    assert splitters.statement_ends(code) == [len("x = f(1,\n  2)\n"), len(code)]
+    df = spark.createDataFrame([(1, code, ".py"), (2, text, ".txt"), (3, None, ".py"), (4, " ", ".md")], "doc_id long, text string, ext string")
+    got = splitters.split_dynamic(df, 12, 0).collect()
+    assert {r.doc_id for r in got} == {1, 2}
+
+
+def test_engine(spark, tmp_path):
+    from sparquill.plans.engine import Config, Engine
+
+    src, out = tmp_path / "s", str(tmp_path / "i")
+    src.mkdir()
+    (src / "one.py").write_text("def load(path):\n    return open(path).read()\n")
+    (src / "two.py").write_text("def save(path, data):\n    open(path, 'w').write(data)\n")
+    (src / "three.txt").write_text("notes about the weather in spring")
+    engine = Engine(spark, Config().with_value("bm25.k1", 1.5).with_value("fusion", "rrf"))
+    engine.build(str(src), out)
+    names = {r.chunk: r.file_path for r in engine.numbered(out).join(spark.read.parquet(f"{out}/documents"), "doc_id").select("chunk", "file_path").collect()}
+    top = lambda *a: names[engine.retrieve(out, *a).where("rank = 1").first().doc_id]
+    assert top("[FUNCDEF]save") == "two.py" and top("", "weather in spring") == "three.txt"
+    assert top("[FUNCDEF]load[TOKEN_SPLIT][CALL]read", "load path read") == "one.py"
+    answer = engine.answer(out, "[FUNCDEF]load", "load path").first()
+    assert "one.py" in answer.prompt and answer.response
+    with pytest.raises(ValueError):
+        engine.retrieve(out)
+    with pytest.raises(KeyError):
+        engine.transform(spark.range(1), "nothing")
