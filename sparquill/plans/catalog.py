@@ -367,3 +367,107 @@ def cg_chain_counts(spark, d):
 def cg_reachable(spark, d):
     """All that the root calls, with the least depth."""
     return callgraph.reachable(_calls(spark, d), _root(spark))
+
+
+# --- code -----------------------------------------------------------------------------------------
+
+
+def _code(spark, d):
+    """A small Python file of each document: a function that calls another."""
+    n = F.col("doc_id").cast("string")
+    code = F.concat(F.lit("import os\n\ndef f"), n, F.lit("(a):\n    x = g"), n, F.lit("(a)\n    return x\n"))
+    return _docs(spark, d, "doc_id").select("doc_id", code.alias("text"), F.lit("python").alias("programming_language"))
+
+
+@query("""SELECT doc_id, t.tag AS tag, CASE WHEN t.own THEN t.name || doc_id ELSE t.name END AS name, t.line AS line, (t.col + CASE WHEN t.shift THEN length(doc_id::VARCHAR) ELSE 0 END)::INT AS col FROM documents,
+  (VALUES ('PKG', 'os', false, 0, 7, false), ('FUNCDEF', 'f', true, 2, 4, false), ('VARDECL', 'a', false, 2, 6, true), ('VARDECL', 'x', false, 3, 4, false), ('CALL', 'g', true, 3, 8, false), ('IDENTIFIER', 'a', false, 3, 10, true), ('IDENTIFIER', 'x', false, 4, 11, false)) AS t(tag, name, own, line, col, shift)""")
+def tk_python(spark, d):
+    """Typed tokens of Python code."""
+    from ..functions.code_tokens import tokenize
+
+    return tokenize(_code(spark, d)).select("doc_id", "tag", "name", "line", "col")
+
+
+@query("SELECT doc_id, 'f' || doc_id AS caller, 'g' || doc_id AS callee, 3::INT AS line FROM documents")
+def cg_calls(spark, d):
+    """Calls with the functions they are in, read from code."""
+    from ..functions.code_tokens import tokenize
+
+    return callgraph.callers(tokenize(_code(spark, d))).select("doc_id", "caller", "callee", "line")
+
+
+@query("SELECT doc_id, 's' || doc_id AS name FROM documents")
+def tk_xml(spark, d):
+    """Statements that a mapping file defines."""
+    from ..functions.code_tokens import tokenize
+
+    code = F.concat(F.lit('<mapper>\n<select id="s'), F.col("doc_id").cast("string"), F.lit('">q</select>\n<p id="no"/></mapper>'))
+    rows = _docs(spark, d, "doc_id").select("doc_id", code.alias("text"), F.lit("xml").alias("programming_language"))
+    return tokenize(rows).where("tag = 'FUNCDEF'").select("doc_id", "name")
+
+
+@query("SELECT doc_id, 'Box' AS base, 'ns' AS namespaces, lang || ',List<' || source || '>' AS args, source AS item FROM documents")
+def lq_type_names(spark, d):
+    """Parts of class names, and the item type of a list."""
+    from ..functions.analysis import as_udf
+
+    name = F.concat(F.lit("ns::Box<"), "lang", F.lit(", List<"), "source", F.lit(">>"))
+    rows = _docs(spark, d, "doc_id", "lang", "source").select("doc_id", as_udf("base_class_name")(name).alias("n"), as_udf("element_type")(F.concat(F.lit("List<"), "source", F.lit(">"))).alias("item"))
+    return rows.select("doc_id", F.col("n.base_class_name").alias("base"), F.array_join("n.namespaces", ",").alias("namespaces"), F.array_join("n.type_arguments", ",").alias("args"), "item")
+
+
+@query("""SELECT doc_id, CASE WHEN pos IS NULL THEN NULL ELSE (pos - 1)::INT END AS number, CASE WHEN pos IS NULL THEN NULL ELSE (strpos(lines[pos], 'the ') - 1)::INT END AS col FROM (
+  SELECT doc_id, lines, list_position(list_transform(lines, lambda x: contains(x, 'the ')), true) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))""")
+def sc_locate(spark, d):
+    """First numbered line with an element, and the element's column."""
+    numbered = X.number_lines(F.col("text"), F.lit(0))
+    at = _docs(spark, d).select("doc_id", X.locate_line(numbered, F.lit("the ")).alias("at"))
+    return at.select("doc_id", F.col("at.number").alias("number"), X.column_of(F.col("at.line"), F.lit("the ")).alias("col"))
+
+
+# --- more windows, filters, prompts ---------------------------------------------------------------
+
+
+@query("""SELECT conv_id, turn, list_filter(range(0, 31, 3), lambda k: list_sum(lens[greatest(pos - k, 1):(pos + k)]) >= 1000)[1]::INT AS width FROM (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, list(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lens FROM conversations)""")
+def wn_widening(spark, d):
+    """The least widening, of 0, 3, ..., 30 turns, whose context has a thousand characters."""
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.row_number().over(by).alias("at"), F.collect_list(F.length(F.coalesce("text", F.lit("")))).over(whole).alias("lens"))
+    fits = F.filter(F.sequence(F.lit(0), F.lit(30), F.lit(3)), lambda k: F.aggregate(F.slice(F.col("lens"), F.greatest(F.col("at") - k, F.lit(1)), F.least(F.col("at") + k, F.size("lens")) - F.greatest(F.col("at") - k, F.lit(1)) + 1), F.lit(0), lambda s, x: s + x) >= 1000)
+    return t.select("conv_id", "turn", F.get(fits, F.lit(0)).alias("width"))
+
+
+@query(_BM25 + " SELECT query_id, doc_id, source FROM (SELECT query_id, doc_id, source, max((source = 'src0')::INT) OVER (PARTITION BY query_id) AS own FROM bm25 JOIN documents USING (doc_id)) WHERE source = 'src0' OR own = 0")
+def fl_source_or_all(spark, d):
+    """Hits in one source, or all of a query's hits where it has none there."""
+    hits = rt_bm25(spark, d).select("query_id", "doc_id").join(_docs(spark, d, "doc_id", "source"), "doc_id")
+    some = F.max((F.col("source") == "src0").cast("int")).over(Window.partitionBy("query_id"))
+    return hits.withColumn("some", some).where("source = 'src0' OR some = 0").select("query_id", "doc_id", "source")
+
+
+@query("SELECT conv_id, md5('system' || chr(10) || chr(10) || string_agg((n || '. File: ' || role || chr(10) || text), chr(10) || chr(10) ORDER BY n) || chr(10) || chr(10) || 'why?') AS prompt FROM (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id")
+def cx_prompt(spark, d):
+    """A prompt with the turns of a conversation as numbered contexts."""
+    from ..providers import prompt
+
+    t = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("path"), "text"))).alias("c"))
+    return t.select("conv_id", F.md5(prompt(F.lit("system"), F.col("c"), F.lit("why?"))).alias("prompt"))
+
+
+@query()
+def em_vectors(spark, d):
+    """Embeddings of the benchmark items by feature hashing."""
+    from ..providers import embed
+
+    return table(spark, d, "benchmark").select("item_id", embed(F.col("text")).alias("vec"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+def sm_windows(spark, d):
+    """Events by hour and type, as the streaming window query gives them once all has arrived."""
+    from ..streaming.index import windowed_counts
+
+    e = table(spark, d, "events").select("ts", "event_type", "value")
+    return windowed_counts(e).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("value", 4).alias("value"))
