@@ -178,9 +178,40 @@ def _python_imports(toks: list, base: int) -> Iterator[Token]:
             group.append(t)
 
 
+def _joined(toks: list) -> list:
+    """With ``operator()`` and the like, and names with template arguments before a call, as one name each."""
+    out, k, n = [], 0, len(toks)
+    while k < n:
+        kind, t, at = toks[k]
+        if t == "operator" and k + 1 < n:
+            j = k + 1
+            name = "operator"
+            while j < n and (name == "operator" or toks[j][1] != "("):
+                name += toks[j][1]
+                j += 1
+                if name in ("operator(", "operator["):
+                    name += toks[j][1] if j < n else ""
+                    j += 1
+            out.append(("i", name, at))
+            k = j
+            continue
+        if kind == "i" and k + 3 < n and toks[k + 1][1] == "<" and t not in _SKIP and t not in ("static_cast", "dynamic_cast", "reinterpret_cast", "const_cast"):
+            end = _match(toks, k + 1, "<", ">")
+            inner = toks[k + 2 : end]
+            if end + 1 < n and toks[end + 1][1] == "(" and inner and all(x[0] == "i" or x[1] in ("::", ",", "*", "&", "<", ">") for x in inner):
+                out.append(("i", t + "".join(x[1] for x in toks[k + 1 : end + 1]), at))
+                k = end + 1
+                continue
+        out.append(toks[k])
+        k += 1
+    return out
+
+
 def brace_tokens(code: str, language: str) -> Iterator[Token]:
     """(tag, name, offset) of code of the C family, Java and Solidity."""
     toks = _lex(_BRACE, code)
+    if language in ("c", "cpp"):
+        toks = _joined(toks)
     text = [t[1] for t in toks]
     n, k = len(toks), 0
     classes: list[str] = []
@@ -215,10 +246,17 @@ def brace_tokens(code: str, language: str) -> Iterator[Token]:
             if not (k + 2 < n and text[k + 2] == ";"):
                 yield "CLASS", nxt, toks[k + 1][2]
                 classes.append(nxt)
+                if t == "union" and k + 2 < n and text[k + 2] == "{":
+                    k = _match(toks, k + 2, "{", "}")  # its members aren't emitted
+                    continue
             k += 2
             while k < n and text[k] not in ("{", ";"):  # what it extends isn't emitted
                 k += 1
             continue
+        if t == "decltype" and nxt == "(" and (j := _match(toks, k + 1) + 1) < n and toks[j][0] == "i":
+            yield "VARDECL", text[j], toks[j][2]
+            k = j + 1
+            continue
         if t == "enum":
             end = next((j for j in range(k, n) if text[j] == "}"), n)
             for x in toks[k + 1 : end]:
@@ -300,8 +338,12 @@ def brace_tokens(code: str, language: str) -> Iterator[Token]:
                 if prev == "::":
                     j = _qualified_from(toks, k)
                     yield ("FUNCDEF" if follows != ";" else "FUNCDECL"), "".join(text[j : k + 1]), toks[j][2]
-                yield from _brace_params(toks, k + 2, close)
+                if not ctor or follows != ";":
+                    yield from _brace_params(toks, k + 2, close)
                 k = close + 1
+                if follows == ":":  # members are initialised
+                    while k < n and text[k] not in ("{", ";"):
+                        k += 1
                 continue
             yield "CALL", t, at
             if prev == "::" and (j := _qualified_from(toks, k)) < k:
@@ -313,9 +355,15 @@ def brace_tokens(code: str, language: str) -> Iterator[Token]:
             j = _name_after_type(toks, k)
             yield "VARDECL", text[j], toks[j][2]
             k = j + 1
+            while k + 2 < n and text[k] == "," and toks[k + 1][0] == "i" and text[k + 2] in (",", ";", "=") and prev != "(":
+                yield "VARDECL", text[k + 1], toks[k + 1][2]
+                k += 2
             continue
-        if k + 2 < n and toks[k + 1][0] == "i" and text[k + 2] == "(" and text[k + 1] not in _SKIP and prev in (";", "{", "}"):
-            k += 1  # a return type
+        j = k + 1
+        while j < n and text[j] in ("*", "&", "&&", "const"):
+            j += 1
+        if j + 1 < n and toks[j][0] == "i" and text[j + 1] in ("(", "::") and text[j] not in _SKIP and (prev in (";", "{", "}", ">") or prev in _MODIFIERS or (prev == ":" and text[k - 2] in ("public", "private", "protected"))):
+            k = j  # a return type
             continue
         if prev == "<" and nxt == ">" and language == "java":
             k += 1
@@ -349,7 +397,7 @@ def _member_call(toks: list, k: int) -> int:
 
 def _is_type_before(toks: list, k: int) -> bool:
     j = k - 1
-    while j >= 0 and toks[j][1] in (">", "]", "*", "&", "[", "<", ",", "::") or (j >= 0 and toks[j][0] == "i" and toks[j][1] not in _FLOW and toks[j + 1][1] in ("<", ">", ",", "*", "&", "[", "]", "::")):
+    while j >= 0 and toks[j][1] in (">", "]", "*", "&", "[", "<", ",", "::") or (j >= 0 and toks[j][0] == "i" and toks[j][1] not in _FLOW and (toks[j + 1][1] in ("<", ">", ",", "*", "&", "[", "]", "::") or toks[j + 1][1] in ("const", "constexpr"))):
         j -= 1
     return j < 0 or toks[j][1] in (";", "{", "}", ")", ":") or toks[j][1] in _MODIFIERS
 

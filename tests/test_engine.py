@@ -196,3 +196,15 @@ def test_engine(spark, tmp_path):
         engine.retrieve(out)
     with pytest.raises(KeyError):
         engine.transform(spark.range(1), "nothing")
+
+
+def test_shared_folder_is_the_session_s(spark):
+    import os
+
+    from sparquill.runtime import checkpointed, shared_dir, stored
+
+    where = spark.conf.get("spark.checkpoint.dir")
+    assert shared_dir(spark) == where
+    before = set(os.listdir(where.removeprefix("file://")))
+    assert stored(spark.range(3), "x").count() == 3 and checkpointed(spark.range(4)).count() == 4
+    assert any(n.startswith("x-") for n in set(os.listdir(where.removeprefix("file://"))) - before)
