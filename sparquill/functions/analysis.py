@@ -233,6 +233,135 @@ def member_variables(class_def: str) -> list[dict]:
     return out
 
 
+_CALL = re.compile(r"((?:new\s+)?[~\w$]+(?:(?:->|::|\.)[~\w$]+)*(?:<[\w:, <>*&]*>)?)\s*\(")
+_NOT_CALLS = frozenset("if for while switch catch return def function class elif with except and or not in sizeof modifier constructor lambda print_".split())
+
+
+def call_expressions(body: str) -> list[dict]:
+    """Calls in a body: the whole expression, and its line and 0-based column. ``n:`` prefixes give the lines."""
+    out = []
+    for n, line in enumerate(body.split("\n")):
+        m = re.match(r"^\s*(\d+):\s?", line)
+        number, code = (int(m.group(1)), line[m.end() :]) if m else (n, line)
+        bare = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", lambda q: q.group()[0] + "_" * (len(q.group()) - 2) + q.group()[0], re.sub(r"//.*$", "", code))
+        for hit in _CALL.finditer(bare):
+            name = hit.group(1)
+            if name.split(" ")[0] in _NOT_CALLS or re.search(r"\b(def|function|func|fn|modifier|class)\s+$", bare[: hit.start()]):
+                continue
+            depth, end = 0, len(code)
+            for k in range(hit.end() - 1, len(bare)):
+                depth += (bare[k] == "(") - (bare[k] == ")")
+                if depth == 0:
+                    end = k + 1
+                    break
+            out.append({"call_expr": code[hit.start() : end], "line_number": number, "column_number": hit.start()})
+    return out
+
+
+def call_kind(call: str) -> dict:
+    """What a call expression calls: its kind, the names it may be found under, its class and method."""
+    expr = call.strip()
+    bare = expr.split("(")[0].strip()
+    found = call_name(expr)
+    name, args = found["base_name"], found["type_arguments"]
+    owner = ""
+    if bare.startswith("new "):
+        kind, owner, name = "constructor", base_class_name(bare[4:])["base_class_name"], base_class_name(bare[4:])["base_class_name"]
+    elif name.startswith("~"):
+        kind, owner = "destructor", name[1:]
+    elif "->" in bare or "." in bare:
+        kind = "member_method"
+    elif "::" in bare:
+        owner = bare.split("::")[-2].strip()
+        kind = "constructor" if owner == name else "static_method"
+    elif args:
+        kind = "template_function"
+    elif name.startswith("operator"):
+        kind = "call_operator"
+    elif name[:1].isupper():
+        kind, owner = "constructor", name
+    else:
+        kind = "function"
+    qualified = [bare.replace("->", "::").replace(".", "::")] if owner and kind != "constructor" else []
+    return {"call_type": kind, "method_name": name, "class_name": owner, "qualified_names": [*qualified, name], "search_terms": [f"[FUNCDEF]{name}"], "template_arguments": args, "needs_class_definition": kind in ("member_method", "constructor", "destructor")}
+
+
+def declared_type(context: str, variable: str) -> str | None:
+    """Type that the context declares the variable with, or that its last literal or construction has."""
+    v = re.escape(variable)
+    found = None
+    for m in re.finditer(rf"(?:^|[;{{(,\n])\s*(?:\d+:\s*)?((?:const\s+|static\s+|final\s+)*[A-Za-z_][\w:]*(?:<[^;()=]*>)?(?:\s*\[\])*[\s*&]+){v}\s*(?=[=;,)\[{{:])", context):
+        t = m.group(1).strip()
+        if t not in ("return", "new", "delete", "else", "in", "auto", "var", "let", "const"):
+            found = t
+    if m := re.search(rf"\b{v}\s*:\s*([\w.\[\], |]+?)\s*(?==|,|\)|$)", context, re.M):
+        found = found or m.group(1)
+    if found is None and (last := latest_assignment(context, variable)):
+        expr = last["expression"]
+        if m := re.match(r"(?:new\s+)?([A-Z]\w*(?:<[^()]*>)?)\s*\(", expr):
+            found = m.group(1)
+        elif _LITERAL.match(expr):
+            found = "string" if expr[0] in "\"'" else "boolean" if expr.lower() in ("true", "false") else "float" if re.fullmatch(r"[+-]?\d*\.\d*", expr) else "integer" if expr[0].isdigit() or expr[0] in "+-" else None
+    return found
+
+
+def function_types(snippet: str) -> dict:
+    """Parameter and return types in a function's header."""
+    code = re.sub(r"^\s*\d+:\s?", "", snippet, flags=re.M).strip()
+    at = code.find("(")
+    if at < 0:
+        return {"parameter_types": [], "return_types": []}
+    depth, end = 0, len(code)
+    for k in range(at, len(code)):
+        depth += (code[k] == "(") - (code[k] == ")")
+        if depth == 0:
+            end = k
+            break
+    params = [p for p in split_top(code[at + 1 : end], (",",)) if p]
+    head, rest = code[:at].strip(), code[end + 1 :]
+    if re.match(r"(async\s+)?def\b", head):
+        types = [p.split(":", 1)[1].split("=")[0].strip() if ":" in p else "" for p in params if p not in ("self", "cls", "*", "/")]
+        ret = re.match(r"\s*->\s*([^:]+(?:\[[^\]]*\])?)\s*:", rest)
+        return {"parameter_types": types, "return_types": [ret.group(1).strip()] if ret else []}
+    if head.startswith("function"):
+        types = [p.split()[0] for p in params]
+        ret = re.search(r"returns\s*\(([^)]*)\)", rest)
+        return {"parameter_types": types, "return_types": [r.split()[0] for r in split_top(ret.group(1), (",",)) if r] if ret else []}
+    types = [re.sub(r"\s*=.*", "", p) for p in params]
+    types = [re.sub(r"(?<=[\s*&>])\w+$", "", t).strip() if re.search(r"[\s*&>]\w+$", t) else t for t in types]
+    words = re.sub(r"^(?:(?:public|private|protected|static|final|virtual|inline|constexpr|explicit|abstract|synchronized|override|extern)\s+)*", "", re.sub(r"^template\s*<[^{]*?>\s*", "", head))
+    ret = re.sub(r"[~\w:]+$", "", words).strip()
+    after = re.match(r"\s*(?:const\s*)?(?:noexcept\s*)?->\s*([\w:<>*& ,]+?)\s*[{;]", rest)
+    return {"parameter_types": types, "return_types": [after.group(1)] if after else [ret] if ret else []}
+
+
+def member_functions(class_def: str) -> list[dict]:
+    """Functions in a class of the brace languages: name, definition, kind, and whether it has a body."""
+    at = class_def.find("{")
+    own = re.search(r"(?:class|struct|contract|interface|library)\s+(\w+)", class_def[: at + 1])
+    out, k, begin, depth = [], at + 1, at + 1, 0
+    while k < len(class_def):
+        c = class_def[k]
+        if depth == 0 and c in "{;":
+            part = class_def[begin:k]
+            end = k
+            if c == "{":
+                level = 0
+                for end in range(k, len(class_def)):
+                    level += (class_def[end] == "{") - (class_def[end] == "}")
+                    if level == 0:
+                        break
+            head = re.sub(r"^\s*(public|private|protected)\s*:\s*", "", part).strip()
+            name = definition_name(head + "{") if "(" in head and "=" not in head.split("(")[0].replace("operator=", "").replace("operator==", "") else None
+            if name:
+                kind = "destructor" if name.startswith("~") else "constructor" if (own and name == own.group(1)) or head.startswith("constructor") else "operator" if name.startswith("operator") else "static_method" if re.search(r"\bstatic\b", head.split("(")[0]) else "method"
+                out.append({"name": name, "definition": (head + (" " if c == "{" else "") + class_def[k : end + 1]).strip(), "kind": kind, "is_complete": c == "{"})
+            k = end
+            begin = k + 1
+        k += 1
+    return out
+
+
 _STRINGS = T.ArrayType(T.StringType())
 RULES = {
     "base_class_name": (base_class_name, T.StructType([T.StructField("namespaces", _STRINGS), T.StructField("base_class_name", T.StringType()), T.StructField("type_arguments", _STRINGS)])),
@@ -244,6 +373,9 @@ RULES = {
     "segments": (segments, T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("kind", T.StringType())]))),
     "chain_components": (chain_components, T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("component", "type", "operator")]))),
     "is_chained": (is_chained, T.BooleanType()),
+    "call_expressions": (call_expressions, T.ArrayType(T.StructType([T.StructField("call_expr", T.StringType()), T.StructField("line_number", T.IntegerType()), T.StructField("column_number", T.IntegerType())]))),
+    "call_kind": (call_kind, T.StructType([T.StructField("call_type", T.StringType()), T.StructField("method_name", T.StringType()), T.StructField("class_name", T.StringType()), T.StructField("qualified_names", _STRINGS), T.StructField("search_terms", _STRINGS), T.StructField("template_arguments", _STRINGS), T.StructField("needs_class_definition", T.BooleanType())])),
+    "function_types": (function_types, T.StructType([T.StructField("parameter_types", _STRINGS), T.StructField("return_types", _STRINGS)])),
     "detect_language": (detect_language, T.StructType([T.StructField("language", T.StringType()), T.StructField("confidence", T.StringType())])),
 }
 

@@ -81,3 +81,31 @@ def callers(tokens: DataFrame) -> DataFrame:
     """``(caller, callee, line)`` of every call inside a function."""
     inside = enclosing(tokens).where("tag = 'CALL' AND enclosing IS NOT NULL")
     return inside.select(F.col("enclosing").alias("caller"), F.col("name").alias("callee"), "doc_id", "line")
+
+
+def resolve(calls: DataFrame, functions: DataFrame) -> DataFrame:
+    """Each call ``(doc_id, caller, callee, line)`` with the definition it means: ``def_doc`` and ``def_line``.
+
+    ``functions`` has ``(name, doc_id, line)``. A definition in the same document goes before others, then the
+    nearest line, then the lesser document. A callee that is defined nowhere isn't resolved.
+    """
+    defs = functions.select(F.col("name").alias("callee"), F.col("doc_id").alias("def_doc"), F.col("line").alias("def_line"))
+    near = calls.join(defs, "callee")
+    order = F.struct((F.col("doc_id") != F.col("def_doc")).alias("elsewhere"), F.abs(F.col("line") - F.col("def_line")).alias("gap"), "def_doc", "def_line")
+    best = near.groupBy("doc_id", "caller", "callee", "line").agg(F.min(order).alias("b"))
+    return best.select("doc_id", "caller", "callee", "line", F.col("b.def_doc").alias("def_doc"), F.col("b.def_line").alias("def_line"))
+
+
+#: (container, member, result) of well-known members; None is a plain function.
+BUILTINS = [
+    ("string", "size", "size_t"), ("string", "length", "int"), ("string", "substr", "string"), ("string", "substring", "String"), ("string", "find", "size_t"), ("string", "c_str", "const char*"),
+    ("vector", "size", "size_t"), ("vector", "empty", "bool"), ("vector", "begin", "iterator"), ("map", "size", "size_t"), ("map", "find", "iterator"), ("list", "size", "int"), ("list", "isEmpty", "boolean"),
+    ("str", "split", "list"), ("str", "join", "str"), ("str", "upper", "str"), ("str", "lower", "str"), ("dict", "keys", "dict_keys"), ("dict", "items", "dict_items"), ("list", "append", "None"), ("list", "index", "int"),
+    (None, "len", "int"), (None, "print", "None"), (None, "range", "range"), (None, "abs", "int"), (None, "sorted", "list"), (None, "open", "TextIOWrapper"), (None, "keccak256", "bytes32"), (None, "sha256", "bytes32"), (None, "blockhash", "bytes32"), (None, "gasleft", "uint256"),
+]
+
+
+def builtin_types(calls: DataFrame) -> DataFrame:
+    """Add ``return_type`` to ``(container, function)``, null where it isn't known; the container's case doesn't count."""
+    known = calls.sparkSession.createDataFrame(BUILTINS, "k string, f string, return_type string")
+    return calls.join(F.broadcast(known), F.lower("container").eqNullSafe(F.col("k")) & (F.col("function") == F.col("f")), "left").drop("k", "f")

@@ -471,3 +471,24 @@ def sm_windows(spark, d):
 
     e = table(spark, d, "events").select("ts", "event_type", "value")
     return windowed_counts(e).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("value", 4).alias("value"))
+
+
+@query("SELECT doc_id, 'f' || doc_id AS caller, 'f' || (doc_id + 1) AS callee, 1::INT AS line, doc_id + 1 AS def_doc, 0::INT AS def_line FROM documents WHERE doc_id + 1 IN (SELECT doc_id FROM documents)")
+def cg_resolved(spark, d):
+    """Calls resolved to their definitions: each document's function calls that of the next."""
+    from ..functions.code_tokens import tokenize
+
+    n, m = F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string")
+    code = F.concat(F.lit("def f"), n, F.lit("():\n    f"), m, F.lit("()\n"))
+    t = tokenize(_docs(spark, d, "doc_id").select("doc_id", code.alias("text"), F.lit("python").alias("programming_language")))
+    return callgraph.resolve(callgraph.callers(t), callgraph.function_headers(t))
+
+
+@query("SELECT doc_id, 'obj.go(' || source || ', h(1))' AS call_expr, 7::INT AS line_number, 2::INT AS column_number, 'member_method' AS call_type, 'go' AS method_name FROM documents UNION ALL SELECT doc_id, 'h(1)', 7, (2 + length('obj.go(' || source || ', '))::INT, 'function', 'h' FROM documents")
+def lq_calls(spark, d):
+    """Call expressions of a numbered body, with their kind."""
+    from ..functions.analysis import as_udf
+
+    body = F.concat(F.lit("7:   obj.go("), "source", F.lit(", h(1)) // x()"))
+    rows = _docs(spark, d, "doc_id", "source").select("doc_id", F.explode(as_udf("call_expressions")(body)).alias("c")).select("doc_id", "c.*")
+    return rows.withColumn("k", as_udf("call_kind")(F.col("call_expr"))).select("doc_id", "call_expr", "line_number", "column_number", "k.call_type", "k.method_name")

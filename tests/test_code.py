@@ -7,13 +7,13 @@ from sparquill.functions import analysis as A
 from sparquill.functions.code_tokens import tokenize, typed_tokens
 
 CASES = [
-    ("python", "def add(a, b): return a + b", "[FUNCDEF]add [IDENTIFIER]a [IDENTIFIER]b [VARDECL]a [VARDECL]b"),
+    ("python", "def scale(v, by=2):\n    return by * v", "[FUNCDEF]scale [IDENTIFIER]by [IDENTIFIER]v [VARDECL]by [VARDECL]v"),
     ("python", "class B(A):\n    @property\n    def n(self):\n        return self._n", "[CALL]property [CLASS]B [FUNCDEF]n [IDENTIFIER]A [IDENTIFIER]_n [IDENTIFIER]self [VARDECL]self"),
     ("python", "from a.b import c as d\nimport os, sys", "[MODULE]a.b [PKG]d [PKG]os [PKG]sys"),
     ("python", 'v = f"{w}"\nraise ValueError("x")', "[IDENTIFIER]w [VARDECL]v"),
     ("python", "try:\n    go()\nexcept Exception as e:\n    pass", "[CALL]go [IDENTIFIER]e"),
     ("java", "interface D { void draw(); }", "[CLASS]D [FUNCDECL]draw"),
-    ("java", "public int add(int a, int b) { return Math.max(a, b); }", "[CALL]max [FUNCDEF]add [IDENTIFIER]Math [IDENTIFIER]a [IDENTIFIER]b [VARDECL]a [VARDECL]b"),
+    ("java", "static long join(long p, Key q) { return Util.both(p, q); }", "[CALL]both [FUNCDEF]join [IDENTIFIER]Util [IDENTIFIER]p [IDENTIFIER]q [VARDECL]p [VARDECL]q"),
     ("java", "import com.x.Y;", "[PKG]com.x.Y"),
     ("java", "List<String> l = new ArrayList<>(); l.add(x);", "[CALL]add [IDENTIFIER]l [IDENTIFIER]x [OBJECTCREATION]ArrayList<> [VARDECL]l"),
     ("cpp", "struct P { int x; };", "[CLASS]P [VARDECL]x"),
@@ -55,6 +55,29 @@ def test_rules():
     assert [(f["name"], f["type"], f["access"], f["default_value"], f["is_static"], f["is_const"]) for f in fields] == [("n", "int", "public", "3", True, True), ("s", "std::string", "private", None, False, False)]
 
 
+def test_calls_and_headers():
+    got = A.call_expressions('3: int f() { return a->b(x, "g(") + c(); } // d()\n4: new E(1);')
+    assert [(c["call_expr"], c["line_number"]) for c in got][1:] == [('a->b(x, "g(")', 3), ("c()", 3), ("new E(1)", 4)]
+    kinds = {c: A.call_kind(c)["call_type"] for c in ("a.b()", "A::b()", "A::A()", "f<int>(x)", "new B(1)", "~B()", "go()", "operator()()")}
+    assert list(kinds.values()) == ["member_method", "static_method", "constructor", "template_function", "constructor", "destructor", "function", "call_operator"]
+    assert A.call_kind("ns::A::b(1)")["qualified_names"] == ["ns::A::b", "b"]
+    assert A.declared_type("const std::vector<int>& v = x;\nint n;", "v") == "const std::vector<int>&"
+    assert A.declared_type("b = Box(1)\nx: int = 3\ns = 'a'", "b") == "Box" and A.declared_type("x: int = 3", "x") == "int" and A.declared_type("s = 'a'", "s") == "string"
+    assert A.declared_type("y = 1", "zz") is None
+    assert A.function_types("def f(self, a: int, b: dict[str, int] = None) -> list[str]:") == {"parameter_types": ["int", "dict[str, int]"], "return_types": ["list[str]"]}
+    assert A.function_types("public static Map<K, V> go(final List<T> xs, int n) {") == {"parameter_types": ["final List<T>", "int"], "return_types": ["Map<K, V>"]}
+    assert A.function_types("function g(uint a, address b) public returns (bool ok, uint) {") == {"parameter_types": ["uint", "address"], "return_types": ["bool", "uint"]}
+    body = "class A {\npublic:\n  A(int n) : n_(n) {}\n  ~A();\n  static int make(int k) { return k; }\n  int n_;\n};"
+    assert [(f["name"], f["kind"], f["is_complete"]) for f in A.member_functions(body)] == [("A", "constructor", True), ("~A", "destructor", False), ("make", "static_method", True)]
+
+
+def test_builtin_types(spark):
+    from sparquill.operators.callgraph import builtin_types
+
+    df = spark.createDataFrame([("String", "size"), (None, "len"), ("x", "len"), (None, None)], "container string, function string")
+    assert [r.return_type for r in builtin_types(df).orderBy("container", "function").collect()] == [None, "int", "size_t", None]
+
+
 @pytest.mark.parametrize("name", sorted(A.RULES))
 def test_rules_as_udfs(spark, name):
     df = spark.createDataFrame([("a::B<C>(1)",), ("",), (None,)], "x string")
