@@ -39,6 +39,15 @@ def split_top(text: str, seps: tuple[str, ...]) -> list[str]:
     return [p.strip() for p in out]
 
 
+_NUMBER = re.compile(r"\s*([0-9]+):[ \t]?")
+
+
+def _numbered(line: str, otherwise: int) -> tuple[int, str]:
+    """Number and rest of a numbered line."""
+    m = _NUMBER.match(line)
+    return (int(m[1]), line[m.end() :]) if m else (otherwise, line)
+
+
 def base_class_name(name: str) -> dict:
     """Namespaces, base name and type arguments of a class name such as ``a::b::C<D, E<F>>``."""
     name = name.strip()
@@ -166,8 +175,7 @@ def latest_assignment(context: str, variable: str) -> dict | None:
     """The last right-hand side that the variable is given, and its line."""
     found = None
     for n, line in enumerate(context.split("\n")):
-        m = re.match(r"^\s*(\d+):\s?(.*)$", line)
-        number, code = (int(m.group(1)), m.group(2)) if m else (n, line)
+        number, code = _numbered(line, n)
         hit = re.search(rf"(?<![\w.])\*?{re.escape(variable)}\s*(?::[^=]+)?=(?!=)\s*(.+?)\s*;?\s*$", code)
         if hit:
             found = {"expression": hit.group(1), "line": number}
@@ -241,8 +249,7 @@ def call_expressions(body: str) -> list[dict]:
     """Calls in a body: the whole expression, and its line and 0-based column. ``n:`` prefixes give the lines."""
     out = []
     for n, line in enumerate(body.split("\n")):
-        m = re.match(r"^\s*(\d+):\s?", line)
-        number, code = (int(m.group(1)), line[m.end() :]) if m else (n, line)
+        number, code = _numbered(line, n)
         bare = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", lambda q: q.group()[0] + "_" * (len(q.group()) - 2) + q.group()[0], re.sub(r"//.*$", "", code))
         for hit in _CALL.finditer(bare):
             name = hit.group(1)

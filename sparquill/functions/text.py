@@ -58,7 +58,7 @@ LANGUAGES = {
     }.items()
 }
 LANGUAGES["scheme"] += LANGUAGES.pop("lisp")
-NOT_CODE = ("documentation", "ini", "makefile", "shell", "unknown")
+NOT_CODE = tuple("documentation ini makefile shell unknown".split())
 
 
 def programming_language(ext: Column) -> Column:

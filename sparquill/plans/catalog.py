@@ -30,7 +30,7 @@ def _docs(spark: SparkSession, d: str, *cols: str) -> DataFrame:
 
 W = r"[\p{L}\p{N}_]+"
 
-# --- scalar functions -----------------------------------------------------------------------------
+# scalar functions
 
 
 @query(f"SELECT doc_id, len(t)::INT AS n_tokens, md5(array_to_string(t, ' ')) AS tokens FROM (SELECT doc_id, regexp_extract_all(text, '{W}') AS t FROM documents)")
@@ -121,7 +121,7 @@ def sc_normalised(spark, d):
     return _docs(spark, d, "source", "doc_id", "n_chars").select("source", "doc_id", F.round(X.min_max(x, by), 6).alias("minmax"), F.round(X.z_score(x, by), 6).alias("zscore"))
 
 
-# --- filters --------------------------------------------------------------------------------------
+# filters
 
 
 def _exclusion_sql() -> str:
@@ -141,7 +141,7 @@ def fl_size(spark, d):
     return _docs(spark, d, "doc_id", "n_chars", "text").where((F.length("text") <= files.MAX_CHARS) & (F.trim("text") != "")).select("doc_id", "n_chars")
 
 
-# --- chunks ---------------------------------------------------------------------------------------
+# chunks
 
 _UNITS = "SELECT doc_id, CASE WHEN u[-1] = '' THEN u[:-2] ELSE u END AS u FROM (SELECT doc_id, string_split(text, ' ') AS u FROM documents WHERE length(text) > 0)"
 
@@ -196,7 +196,7 @@ def ag_first_chunk(spark, d):
     return c.groupBy("doc_id").agg(F.min_by("chunk_id", "ord").alias("first_id"), F.count("*").alias("n"))
 
 
-# --- retrieval ------------------------------------------------------------------------------------
+# retrieval
 
 
 def _tokens(spark, d):
@@ -288,7 +288,7 @@ def ag_modal_size(spark, d):
     return retrieval.modal_size(e, "embedding").select("vec_id", "label", F.size("embedding").alias("size"))
 
 
-# --- joins, sets ----------------------------------------------------------------------------------
+# joins, sets
 
 
 @query("SELECT doc_id, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)")
@@ -329,7 +329,7 @@ def jn_enclosing(spark, d):
     return callgraph.enclosing(t).select("event_id", F.col("doc_id").alias("user_id"), "enclosing")
 
 
-# --- call graphs ----------------------------------------------------------------------------------
+# call graphs
 
 
 def _calls(spark, d):
@@ -369,7 +369,7 @@ def cg_reachable(spark, d):
     return callgraph.reachable(_calls(spark, d), _root(spark))
 
 
-# --- code -----------------------------------------------------------------------------------------
+# code
 
 
 def _code(spark, d):
@@ -425,7 +425,7 @@ def sc_locate(spark, d):
     return at.select("doc_id", F.col("at.number").alias("number"), X.column_of(F.col("at.line"), F.lit("the ")).alias("col"))
 
 
-# --- more windows, filters, prompts ---------------------------------------------------------------
+# more windows, filters, prompts
 
 
 @query("""SELECT conv_id, turn, list_filter(range(0, 31, 3), lambda k: list_sum(lens[greatest(pos - k, 1):(pos + k)]) >= 1000)[1]::INT AS width FROM (

@@ -39,7 +39,7 @@ def test_rules():
     assert A.call_name("ns::make<int, F<X>>(1)") == {"base_name": "make", "type_arguments": ["int", "F<X>"]}
     assert A.definition_name("template<class T>\nT Box<T>::get() const { return x; }") == "get"
     assert A.definition_name("async def run(x):\n    pass") == "run"
-    assert A.substitute("map<K, V>", {"K": "V", "V": "int"}) == "map<V, int>"
+    assert A.substitute("Pair<P, Q>", {"P": "Q", "Q": "int"}) == "Pair<Q, int>"
     assert A.type_parameters("map<K, vector<T>>") == ["K", "T"]
     assert A.element_type("std::map<string, vector<int>>") == "vector<int>"
     assert A.element_type("mapping(address => uint)") == "uint"
