@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return add_columns(docs, make, [T.StructField("signature", T.BinaryType())], text_col)
 
 
-# --- the trie self-join ---------------------------------------------------------------------------
+# the trie self-join
 
 
 def block_keys(words: np.ndarray, block: int) -> np.ndarray:

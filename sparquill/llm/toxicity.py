@@ -203,10 +203,10 @@ def toxicity(docs: DataFrame, terms: tuple[str, ...] = BASE, known: frozenset[st
 
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         key = shared.value
-        if terms not in _SCORERS:
+        if key not in _SCORERS:
             _SCORERS.clear()
-            _SCORERS[terms] = Scorer(*key)
-        scorer = _SCORERS[terms]
+            _SCORERS[key] = Scorer(*key)
+        scorer = _SCORERS[key]
         rows = [None if t is None else scorer.score(t) for t in strings(batch.column(text_col)).to_pylist()]
         cols = list(zip(*[r or (None,) * 4 for r in rows])) or [()] * 4
         return {"toxic_score": pa.array(cols[0], pa.float64()), "n_hits": pa.array(cols[1], pa.int32()), "n_misspelled": pa.array(cols[2], pa.int32()), "n_quoted": pa.array(cols[3], pa.int32()), "toxic": pa.array([bool(r) and r[0] >= threshold for r in rows], pa.bool_())}

@@ -50,7 +50,7 @@ def labels(spark, small):
     return spark.read.parquet(f"{small}/labels.parquet")
 
 
-# --- 1, 9: tokens ----------------------------------------------------------------------------------
+# 1, 9: tokens
 
 
 @pytest.fixture(scope="module")
@@ -91,6 +91,12 @@ def test_encode_equals_library_and_round_trips(docs, odd, reference_encoder):
                 assert r.token_ids == reference_encoder.encode_ordinary(r.text) and r.n_tokens == len(r.token_ids) and r.decoded == r.text
 
 
+def test_checked_in_one_pass(odd):
+    both = bpe.encode_checked(odd.withColumn("round_trip", F.lit("x")))
+    assert all(r.round_trip for r in both.collect())
+    assert sorted((r.doc_id or 0, r.token_ids or []) for r in both.collect()) == sorted((r.doc_id or 0, r.token_ids or []) for r in bpe.encode(odd).collect())
+
+
 def test_decode_of_bad_ids(spark):
     df = spark.createDataFrame([([10**6],), ([-1],), ([None],), ([],), (None,), ([64],)], "token_ids array<int>")
     assert [r.decoded for r in bpe.decode(df).collect()] == [None, None, None, "", None, "a"]
@@ -103,7 +109,7 @@ def test_token_counts(docs, odd, reference_encoder):
                 assert r.n_tokens == (None if r.text is None else len(reference_encoder.encode_ordinary(r.text)))
 
 
-# --- 2: sharding -----------------------------------------------------------------------------------
+# 2: sharding
 
 
 def brute_kd(rows, target, spans, node=1):
@@ -149,7 +155,7 @@ def test_shards_of_odd_rows(odd, none, spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 6
 
 
-# --- 3: toxicity -----------------------------------------------------------------------------------
+# 3: toxicity
 
 
 def levenshtein(a, b):
@@ -202,7 +208,7 @@ def test_learned_terms(docs, labels, none, spark):
     assert "vilekin" in toxicity.learn_terms(spark.createDataFrame(rows, SCHEMA), marks)[0]
 
 
-# --- 4: near-duplicates ----------------------------------------------------------------------------
+# 4: near-duplicates
 
 
 def hamming(a, b):
@@ -273,7 +279,7 @@ def test_components_of_a_long_path(spark):
     assert got == {k: 0 for k in range(1, n)} | {1001: 1000}
 
 
-# --- 5: mixing -------------------------------------------------------------------------------------
+# 5: mixing
 
 
 def test_pivot_keeps_mass_and_means():
@@ -315,7 +321,7 @@ def test_mix_repeats_rows(odd, none, docs):
     assert mixing.mix(none).count() == 0 and mixing.copies(none).count() == 0
 
 
-# --- 6, 10: quality --------------------------------------------------------------------------------
+# 6, 10: quality
 
 
 def test_viterbi_by_brute_force():
@@ -386,7 +392,7 @@ def test_quality_of_odd_rows(odd, none, docs, labels, spark):
     assert quality.quality_rules(docs, quality.train_rules(none, empty)).where("keep").count() > 100
 
 
-# --- 7: chat ---------------------------------------------------------------------------------------
+# 7: chat
 
 
 def test_perspectives(spark):
@@ -409,7 +415,7 @@ def test_perspectives_sql(spark, small):
     assert sorted(got.fetchall()) == sorted(tuple(r) for r in want.select(*got.columns).collect())
 
 
-# --- 8: fingerprints -------------------------------------------------------------------------------
+# 8: fingerprints
 
 
 def test_collisions_are_generalised_jaccard(spark):
@@ -442,7 +448,7 @@ def test_fingerprints_by_brute_force(docs, odd, none):
     assert two.first().s == 1
 
 
-# --- all -------------------------------------------------------------------------------------------
+# all
 
 
 def test_parts_are_whole_rows():
