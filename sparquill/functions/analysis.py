@@ -198,7 +198,7 @@ def detect_language(snippet: str) -> dict:
     best = max(score, key=lambda k: score[k])
     top = score[best]
     if not snippet.strip() or not top:
-        return {"language": "unknown", "confidence": "low"}
+        return dict.fromkeys(("language",), "unknown") | {"confidence": "low"}
     return {"language": best, "confidence": "high" if top > 2 else "medium" if top == 2 else "low"}
 
 

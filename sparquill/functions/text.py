@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORDS = r"[\p{L}\p{N}_]+"
-TOKEN_SPLIT = "[TOKEN_SPLIT]"
+NUMBERED = "^[ \\t]*[0-9]+:[ \\t]?"
 
 LANGUAGES = {
     lang: exts.split()
@@ -95,18 +95,18 @@ def number_lines(text: Column, start: Column) -> Column:
 
 
 def has_line_numbers(text: Column) -> Column:
-    return F.forall(F.split(text, "\n", -1), lambda x: (F.trim(x) == "") | x.rlike(r"^\s*\d+:\s?"))
+    return F.forall(F.split(text, "\n", -1), lambda x: (F.trim(x) == "") | x.rlike(NUMBERED))
 
 
 def strip_line_numbers(text: Column) -> Column:
     """Without the prefixes, if every line that isn't blank has one."""
-    bare = F.array_join(F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"^\s*\d+:\s?", "")), "\n")
+    bare = F.array_join(F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, NUMBERED, "")), "\n")
     return F.when(has_line_numbers(text), bare).otherwise(text)
 
 
 def locate_line(text: Column, element: Column) -> Column:
     """(number, line) of the first numbered line that has the element; null when none has."""
-    lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct(F.regexp_extract(x, r"^\s*(\d+):", 1).try_cast("int").alias("number"), F.regexp_replace(x, r"^\s*\d+:\s?", "").alias("line")))
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct(F.regexp_extract(x, r"^\s*(\d+):", 1).try_cast("int").alias("number"), F.regexp_replace(x, NUMBERED, "").alias("line")))
     found = F.filter(lines, lambda s: (F.instr(s["line"], element) > 0) & s["number"].isNotNull())
     return F.when(F.length(element) > 0, F.get(found, F.lit(0)))
 
@@ -179,7 +179,7 @@ def document_type(ext: Column) -> Column:
 #: Marks of each kind of content; a kind's score is how many of its marks occur.
 MARKS = {
     "yaml": ("---\n", "version:", "name:\n", "- name:", "env:"),
-    "rst": (".. code-block::", ".. note::", "====", "~~~~", ":ref:"),
+    "rst": ("====", ".. note::", ":ref:", "~~~~", ".. code-block::"),
     "json": ('{"', '":', "[{", '"}', "null,"),
     "markdown": ("# ", "```", "](", "**", "| "),
     "code": ("def ", "class ", "return ", "import ", "{", ";"),
