@@ -208,3 +208,23 @@ def test_shared_folder_is_the_session_s(spark):
     before = set(os.listdir(where.removeprefix("file://")))
     assert stored(spark.range(3), "x").count() == 3 and checkpointed(spark.range(4)).count() == 4
     assert any(n.startswith("x-") for n in set(os.listdir(where.removeprefix("file://"))) - before)
+
+
+def test_code_chunks(spark):
+    from sparquill.functions.code_tokens import typed_tokens
+    from sparquill.operators.code_chunks import code_chunks, placed_units, split_code_chunks
+
+    code = "def alpha(x): return x\n\ndef beta(y):\n    é = alpha(y)\n    return é\n"
+    for unit, line, col in placed_units(code, " "):
+        assert code.split("\n")[line].encode()[col:].decode().startswith(unit.split("\n")[0])
+    toks = [(f"[{t}]{n}", a, b) for t, n, a, b in typed_tokens(code, "python")]
+    for size in (1, 2, 3, 7, 100):
+        got = code_chunks(code, toks, size)
+        assert [t for c in got for t in c["tokens"]] == toks
+        assert " ".join(c["original_text"][c["position_restoration_spaces"] :] for c in got).strip().split() == code.strip().split()
+        assert all(c["text"].split("\n")[0].startswith(f"{c['start_line']}: ") or not c["original_text"].split("\n")[0] for c in got)
+    long = code_chunks("a long.name.of.it b", [("[CALL]name.of.it b", 0, 7)], 2)
+    assert long[0]["original_text"] == "a long.name.of.it b" and len(long) == 2
+    assert code_chunks("a b\nc d", [], 1)[1]["position_restoration_spaces"] == 2
+    df = spark.createDataFrame([(1, code, [("x", 0, 0)]), (2, None, None), (3, "", [])], "doc_id long, text string, tokens array<struct<token:string,line:int,col:int>>")
+    assert {r.doc_id for r in split_code_chunks(df, 3).collect()} == {1}
