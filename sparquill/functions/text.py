@@ -94,6 +94,27 @@ def number_lines(text: Column, start: Column) -> Column:
     return F.array_join(F.transform(F.split(text, "\n", -1), lambda x, i: F.when(F.length(x) > 0, F.concat((start + i).cast("string"), F.lit(": "), x)).otherwise("")), "\n")
 
 
+def line_and_column(text: Column, offset: Column) -> Column:
+    """(line, column) of a byte offset, both from 0, the column in bytes."""
+    before = F.substring(F.encode(text, "utf-8"), F.lit(1), offset).cast("string")
+    line = F.octet_length(before) - F.octet_length(F.replace(before, F.lit("\n"), F.lit("")))
+    return F.struct(line.cast("int").alias("line"), F.octet_length(F.substring_index(before, "\n", -1)).alias("col"))
+
+
+def safe_cut(data: bytes, at: int) -> int:
+    """The greatest offset up to ``at`` that doesn't cut a UTF-8 character."""
+    at = max(0, min(at, len(data)))
+    while 0 < at < len(data) and data[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
+def cache_name(path: str, dual: bool = False, dynamic: bool = False, query_driven: bool = False, model: str = "") -> str:
+    """File name of an index of the path with these options."""
+    marks = [m for m, on in (("dual-vector", dual), ("dynamic-splitter", dynamic), ("query-driven", query_driven), (model, bool(model))) if on]
+    return "-".join([path.strip().rstrip("/"), *marks]).replace("/", "#")
+
+
 def has_line_numbers(text: Column) -> Column:
     return F.forall(F.split(text, "\n", -1), lambda x: (F.trim(x) == "") | x.rlike(NUMBERED))
 

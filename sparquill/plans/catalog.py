@@ -492,3 +492,23 @@ def lq_calls(spark, d):
     body = F.concat(F.lit("7:   obj.go("), "source", F.lit(", h(1)) // x()"))
     rows = _docs(spark, d, "doc_id", "source").select("doc_id", F.explode(as_udf("call_expressions")(body)).alias("c")).select("doc_id", "c.*")
     return rows.withColumn("k", as_udf("call_kind")(F.col("call_expr"))).select("doc_id", "call_expr", "line_number", "column_number", "k.call_type", "k.method_name")
+
+
+@query("""SELECT doc_id, (length(p) - length(replace(p, chr(10), '')))::INT AS line, strlen(string_split(p, chr(10))[-1])::INT AS col FROM (
+  SELECT doc_id, substr(text, 1, length(text) // 2) AS p FROM documents)""")
+def sc_byte_positions(spark, d):
+    """Line and column of the byte in the middle of a document's characters."""
+    half = F.octet_length(F.substring(F.col("text"), F.lit(1), F.expr("length(text) div 2").cast("int")))
+    at = _docs(spark, d).select("doc_id", X.line_and_column(F.col("text"), half).alias("at"))
+    return at.select("doc_id", "at.line", "at.col")
+
+
+@query("SELECT s_suppkey AS id, s_suppkey % 3 = 0 AS chained, CASE WHEN s_suppkey % 3 = 0 THEN 'a|b(1)|c(2)' ELSE 'ns|go(x)' END AS parts, 'identifier|function_call|literal' AS kinds FROM supplier")
+def lq_chains(spark, d):
+    """Components of chained calls, and operands of an expression."""
+    from ..functions.analysis import as_udf
+
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    expr = F.when(F.col("id") % 3 == 0, "a->b(1).c(2)").otherwise("ns::go(x)")
+    kinds = as_udf("segments")(F.concat(F.lit("n + f(1, "), F.col("id").cast("string"), F.lit(") * 2")))
+    return s.select("id", as_udf("is_chained")(expr).alias("chained"), F.array_join(F.transform(as_udf("chain_components")(expr), lambda c: c["component"]), "|").alias("parts"), F.array_join(F.transform(kinds, lambda k: k["kind"]), "|").alias("kinds"))

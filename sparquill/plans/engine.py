@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import providers
 from ..functions.code_tokens import tokenize
 from ..operators import chunks, retrieval, splitters
+from ..runtime import stored
 from ..sources import files
 
 
@@ -66,6 +67,14 @@ class Engine:
         self.transform(docs, "tokens").write.mode("overwrite").parquet(f"{to}/tokens")
         self.transform(docs, "split_embed").write.mode("overwrite").parquet(f"{to}/chunks")
 
+    def add(self, docs: DataFrame, to: str) -> None:
+        """Append documents that the index hasn't got, with their tokens, chunks and vectors."""
+        have = self.spark.read.parquet(f"{to}/documents").select("doc_id")
+        new = stored(docs.dropDuplicates(["doc_id"]).join(have, "doc_id", "left_anti"), "added")
+        self.transform(new, "tokens").write.mode("append").parquet(f"{to}/tokens")
+        self.transform(new, "split_embed").write.mode("append").parquet(f"{to}/chunks")
+        new.write.mode("append").parquet(f"{to}/documents")
+
     def retrieve(self, index: str, keywords: str = "", question: str = "") -> DataFrame:
         """Ranked chunks of an index: ``(query_id, doc_id, score, rank)`` with a numeric ``doc_id`` for a chunk.
 

@@ -192,6 +192,11 @@ def test_engine(spark, tmp_path):
     assert top("[FUNCDEF]load[TOKEN_SPLIT][CALL]read", "load path read") == "one.py"
     answer = engine.answer(out, "[FUNCDEF]load", "load path").first()
     assert "one.py" in answer.prompt and answer.response
+    (src / "four.py").write_text("def extra():\n    pass\n")
+    engine.add(files.scan(spark, str(src)), out)
+    assert spark.read.parquet(f"{out}/documents").count() == 4
+    names = {r.chunk: r.file_path for r in engine.numbered(out).join(spark.read.parquet(f"{out}/documents"), "doc_id").select("chunk", "file_path").collect()}
+    assert names[engine.retrieve(out, "[FUNCDEF]extra").where("rank = 1").first().doc_id] == "four.py"
     with pytest.raises(ValueError):
         engine.retrieve(out)
     with pytest.raises(KeyError):
@@ -228,3 +233,9 @@ def test_code_chunks(spark):
     assert code_chunks("a b\nc d", [], 1)[1]["position_restoration_spaces"] == 2
     df = spark.createDataFrame([(1, code, [("x", 0, 0)]), (2, None, None), (3, "", [])], "doc_id long, text string, tokens array<struct<token:string,line:int,col:int>>")
     assert {r.doc_id for r in split_code_chunks(df, 3).collect()} == {1}
+
+
+def test_bytes():
+    data = "aé漢".encode()
+    assert [X.safe_cut(data, k) for k in range(-1, 8)] == [0, 0, 1, 1, 3, 3, 3, 6, 6]
+    assert X.cache_name("/a/b/", dual=True, model="m") == "#a#b-dual-vector-m"
