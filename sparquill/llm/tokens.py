@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..runtime import ship
 from .bpe import _LOOSE, encoder, vocabulary_path
-from .common import add_columns, strings
+from .common import BLOCK_BYTES, add_columns, strings
 
 #: Pre-tokens in the broadcast table, at most, and of each partition's summary.
 TABLE, SUMMARY = 65_536, 8192
@@ -93,23 +93,21 @@ class Lengths:
                 for p in parts[1:]:
                     if p not in known:
                         new[p] = None
-        if new:
-            words = list(new)
-            n = self.table.look_up(words)
-            miss = np.flatnonzero(n < 0)
-            if len(miss):
-                n[miss] = encoder(self.path).count(pa.array([" " + words[k] for k in miss.tolist()], pa.string()))
-            known.update(zip(words, n.tolist()))
+        words = list(new)
+        n = self.table.look_up(words)
+        miss = np.flatnonzero(n < 0).tolist()
         heads = [i for i, r in enumerate(rows) if r]
-        first = dict(zip(heads, encoder(self.path).count(pa.array([rows[i][0] for i in heads], pa.string())).tolist()))
-        first.update(zip(whole, encoder(self.path).count(pa.array([texts[i] for i in whole], pa.string())).tolist()))
+        # all that needs encoding goes at once: merges are shared by its pieces
+        todo = [" " + words[k] for k in miss] + [rows[i][0] for i in heads] + [texts[i] for i in whole]
+        found = encoder(self.path).count(pa.array(todo, pa.string())) if todo else n[:0]
+        n[miss] = found[: len(miss)]
+        known.update(zip(words, n.tolist()))
+        first = dict(zip(heads + whole, found[len(miss) :].tolist()))
         get = known.__getitem__
         return [None if t is None else 0 if not t else first[i] + (sum(map(get, rows[i][1:])) if rows[i] else 0) for i, t in enumerate(texts)]
 
 
 _LENGTHS: dict[int, Lengths] = {}
-#: Texts counted at once.
-_BLOCK = 512
 
 
 def token_counts(docs: DataFrame, vocab_path: str | None = None, text_col: str = "text", table: int = TABLE) -> DataFrame:
@@ -128,12 +126,9 @@ def token_counts(docs: DataFrame, vocab_path: str | None = None, text_col: str =
             _LENGTHS.clear()
             own = _LENGTHS[id(shared.value)] = Lengths(shared.value, path)
         texts = strings(batch.column(text_col))
-        out: list[int | None] = []
-        for k in range(0, len(texts), _BLOCK):
-            out += own.counts(texts.slice(k, _BLOCK).to_pylist())
-        return {"n_tokens": pa.array(out, pa.int64())}
+        return {"n_tokens": pa.array(own.counts(texts.to_pylist()), pa.int64())}
 
-    return add_columns(docs, make, [T.StructField("n_tokens", T.LongType())], text_col)
+    return add_columns(docs, make, [T.StructField("n_tokens", T.LongType())], text_col, 4 * BLOCK_BYTES)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
