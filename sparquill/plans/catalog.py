@@ -268,17 +268,15 @@ def rt_hybrid_rrf(spark, d):
     return retrieval.fuse_rrf(rt_bm25(spark, d), _dense(spark, d))
 
 
-def _half_sql(name: str, parity: str) -> str:
-    return _KNN.replace("knn AS", f"{name} AS").format(w=f"q.vec_id <> e.vec_id AND {parity}")
+_UNDERSTOOD = _KNN.replace("knn AS", "u AS").replace("e.embedding::DOUBLE[]", "list_reverse(e.embedding)::DOUBLE[]").format(w="q.vec_id <> e.vec_id")
 
 
-@query("WITH " + _half_sql("c", "e.label % 2 = 0") + ", " + _half_sql("u", "e.label % 3 = 0") + ", f AS (SELECT query_id, doc_id, greatest(c.score, u.score) AS score FROM c FULL JOIN u USING (query_id, doc_id))" + _TOP)
+@query("WITH " + _KNN.replace("knn AS", "c AS").format(w="q.vec_id <> e.vec_id") + ", " + _UNDERSTOOD + ", f AS (SELECT query_id, doc_id, greatest(c.score, u.score) AS score FROM c FULL JOIN u USING (query_id, doc_id))" + _TOP)
 def rt_dual(spark, d):
-    """Two vector indexes, merged by the better score."""
-    e = table(spark, d, "embeddings")
-    part = lambda k: e.where(F.col("label") % k == 0).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    """Two vectors of each document, that of its summary being the other one reversed; merged by the better score."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.reverse("embedding").alias("vec"))
     asked = _vectors(spark, d, "query_id")
-    return retrieval.max_merge(retrieval.knn(part(2), asked, skip_same=True), retrieval.knn(part(3), asked, skip_same=True))
+    return retrieval.max_merge(retrieval.knn(_vectors(spark, d), asked, skip_same=True), retrieval.knn(e, asked, skip_same=True))
 
 
 @query("SELECT vec_id, label, len(embedding)::INT AS size FROM embeddings WHERE len(embedding) = (SELECT s FROM (SELECT len(embedding) AS s, count(*) AS n FROM embeddings GROUP BY 1 ORDER BY n DESC, s LIMIT 1))")
