@@ -77,7 +77,7 @@ def call_name(call: str) -> dict:
     return {"base_name": found["base_class_name"], "type_arguments": found["type_arguments"]}
 
 
-_DEF = re.compile(r"^\s*(?:@\w[^\n]*\n\s*)*(?:async\s+)?(?:def|function|modifier|func|fn)\s+([\w$]+)|([~\w$]+(?:::[~\w$]+)*|operator\s*\S+?)\s*\(", re.S)
+_DEF = re.compile(r"^\s*(?:@\w[^\n]*\n\s*)*(?:async\s+)?(?:def|function|modifier|func|fn)\s+([\w$]+)|((?:\w+::)*operator\s*(?:\(\)|\[\]|[^\s\w(]+|\w+)|[~\w$]+(?:::[~\w$]+)*)\s*\(", re.S)
 
 
 def definition_name(definition: str) -> str | None:
@@ -160,8 +160,9 @@ _LITERAL = re.compile(r"^(?:[\"'].*[\"']|[+-]?\d[\w.]*|true|false|True|False|nul
 def segments(expr: str) -> list[dict]:
     """Operands of an expression: literals, identifiers, and function calls, which end with a parenthesis."""
     out = []
-    for part in split_top(expr, ("&&", "||", "==", "!=", "<=", ">=", "<<", ">>", " and ", " or ", "+", "-", "*", "/", "%", " < ", " > ", "?", " : ")):
-        part = part.strip().lstrip("!").strip()
+    arrow = "\x01"  # not a minus
+    for part in split_top(expr.replace("->", arrow), ("&&", "||", "==", "!=", "<=", ">=", "<<", ">>", " and ", " or ", "+", "-", "*", "/", "%", " < ", " > ", "?", " : ")):
+        part = part.replace(arrow, "->").strip().lstrip("!").strip()
         while part.startswith("(") and part.endswith(")") and split_top(part[1:-1], (")",)) == [part[1:-1].strip()]:
             inner = segments(part[1:-1])
             out += inner

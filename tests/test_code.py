@@ -82,3 +82,26 @@ def test_builtin_types(spark):
 def test_rules_as_udfs(spark, name):
     df = spark.createDataFrame([("a::B<C>(1)",), ("",), (None,)], "x string")
     assert df.select(A.as_udf(name)(F.col("x"))).count() == 3
+
+
+def test_resolution():
+    from sparquill.functions import resolution as R
+
+    box = "template <typename T>\nclass Box {\npublic:\n  Box(T v) : v_(v) {}\n  T get() const { return v_; }\n  Box<T>* next() { return n_; }\n  int operator()(int k) { return k; }\n  T v_;\n  Box<T>* n_;\n};"
+    lib = {"Box": box}
+    given = {"b": "Box<std::string>", "m": "map<int, vector<Box<int>>>", "p": "std::unique_ptr<Box<long>>"}
+    f = {"make": "Box<char> make(int n) { return Box<char>(n); }"}
+    info = lambda e: R.callee_info(e, given, lib, f)
+    assert info("b.next()->get()")["return_type"] == "std::string"
+    assert info("b.get().size()")["return_type"] == "size_t"
+    assert info("p->get()")["return_type"] == "long" and info("make(1).get()")["return_type"] == "char"
+    assert info("m[1]")["return_type"] == "vector<Box<int>>" and info("m.at(1).front().get()")["return_type"] == "int"
+    assert info("b.v_")["return_type"] == "std::string" and info("b.nothing()") is None and info("who()") is None
+    assert info("Box<int>(3).next()")["return_type"] == "Box<int>*"
+    assert "operator()" in R.call_operator(box) and R.constructor(box, "Box").startswith("Box(T v)")
+    assert R.call_operator("class A:\n    def __call__(self):\n        return 1\n    def g(self): pass") == "def __call__(self):\n        return 1"
+    assert R.header_names("void ns::A<int>::run(int x)") == {"full_name": "ns::A::run", "short_name": "run"}
+    assert R.locate("4: x\n5: f( a,b )", "f(a, b)") == (5, "f( a,b )") and R.locate("1: x", "") is None
+    assert R.nearest_definition([{"line": 3}, {"line": 9}], 8) == {"line": 9} and R.nearest_definition([], 1) is None
+    kind = lambda e: R.expression_type(e, given, lib, f)
+    assert [kind(e) for e in ("1 + 2.5", '"a" + b.get()', "1 == 2", "p->get()", "3", "zz")] == ["float", "string", "boolean", "long", "integer", None]
