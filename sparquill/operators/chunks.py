@@ -26,12 +26,16 @@ def split_chunks(docs: DataFrame, size: int = 256, overlap: int = 0, split_by: s
     step = size - overlap if size > overlap else size
     sep = SEPARATORS[split_by]
     cut = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("doc_id"), units(F.col(text_col), split_by).alias("u")).where(F.size("u") > 0)
-    # a window starts at 0, step, ... until one reaches the end
+    # a window starts at 0, step, ... until one reaches the end; lines before it are summed a step at a time
     last = F.greatest(F.ceil((F.size("u") - size) / F.lit(step)), F.lit(0)).cast("int")
-    rows = cut.select("doc_id", "u", F.explode(F.sequence(F.lit(0), last)).alias("ord"))
-    rows = rows.select("doc_id", "ord", F.slice("u", F.col("ord") * step + 1, size).alias("w"), F.slice("u", 1, F.col("ord") * step).alias("before"))
-    breaks = F.aggregate("before", F.lit(0), lambda s, x: s + F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))) + (F.lit(sep.count("\n")) * F.size("before"))
-    rows = rows.select("doc_id", "ord", F.size("w").alias("n_units"), F.array_join("w", sep).alias("text"), breaks.cast("int").alias("start_line"))
+    breaks = F.transform("u", lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))) + sep.count("\n"))
+    rows = cut.select("doc_id", "u", breaks.alias("b"), F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")).alias("k"))
+    lines = F.aggregate("k", F.array(F.lit(0)), lambda s, k: F.array_append(s, F.element_at(s, -1) + F.aggregate(F.slice(F.col("b"), (k - 1) * step + 1, F.lit(step)), F.lit(0), lambda n, x: n + x)))
+    # windows are cut before rows are made of them: the units of a document aren't copied for each of its chunks
+    windows = F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.slice(F.col("u"), i * step + 1, F.lit(size)).alias("w")))
+    joined = F.transform(windows, lambda s: F.struct(s["line"].alias("line"), F.size(s["w"]).alias("n"), F.array_join(s["w"], sep).alias("text")))
+    rows = rows.select("doc_id", F.posexplode(joined).alias("ord", "c"))
+    rows = rows.select("doc_id", "ord", F.col("c.n").alias("n_units"), F.col("c.text").alias("text"), F.col("c.line").alias("start_line"))
     inner = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     return rows.withColumn("end_line", (F.col("start_line") + inner).cast("int"))
 
