@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import ship
-from .bpe import _LOOSE, encoder, vocabulary_path
+from .bpe import _LOOSE, Vocabulary, merge_all, vocabulary, vocabulary_path
 from .common import BLOCK_BYTES, add_columns, strings
 
 #: Pre-tokens in the broadcast table, at most, and of each partition's summary.
@@ -55,12 +55,34 @@ def frequent(docs: DataFrame, text_col: str = "text", table: int = TABLE) -> lis
     return [r.piece for r in top.collect()]  # at most ``table`` rows
 
 
+def piece_lengths(vocab: Vocabulary, todo: list[str]) -> np.ndarray:
+    """Numbers of tokens of pieces that are whole pre-tokens, or several."""
+    out = np.ones(len(todo), np.int64)
+    rest: list[bytes] = []
+    owner: list[int] = []
+    ranks, find = vocab.ranks, vocab.pattern.findall
+    for i, piece in enumerate(todo):
+        raw = piece.encode()
+        if raw in ranks:
+            continue
+        out[i] = 0
+        # a space and letters are one pre-token
+        for token in (raw,) if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()) else [t.encode() for t in find(piece)]:
+            if token in ranks:
+                out[i] += 1
+            else:
+                rest.append(token)
+                owner.append(i)
+    np.add.at(out, np.array(owner, np.int64), merge_all(vocab, rest)[1])
+    return out
+
+
 class Table:
     """Sorted hashes of pieces, and their lengths: 9 bytes a piece."""
 
     def __init__(self, words: list[str], path: str):
         h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-        n = encoder(path).count(pa.array([" " + w for w in words], pa.string()))
+        n = piece_lengths(vocabulary(path), [" " + w for w in words])
         fits = n < 256
         order = np.argsort(h[fits], kind="stable")
         self.keys, self.lengths = h[fits][order], n[fits][order].astype(np.uint8)
@@ -99,7 +121,7 @@ class Lengths:
         heads = [i for i, r in enumerate(rows) if r]
         # all that needs encoding goes at once: merges are shared by its pieces
         todo = [" " + words[k] for k in miss] + [rows[i][0] for i in heads] + [texts[i] for i in whole]
-        found = encoder(self.path).count(pa.array(todo, pa.string())) if todo else n[:0]
+        found = piece_lengths(vocabulary(self.path), todo)
         n[miss] = found[: len(miss)]
         known.update(zip(words, n.tolist()))
         first = dict(zip(heads + whole, found[len(miss) :].tolist()))
