@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import ship
+from ..runtime import ship, stored
 from .bpe import _LOOSE, Vocabulary, merge_all, vocabulary, vocabulary_path
 from .common import BLOCK_BYTES, add_columns, strings
 
 #: Pre-tokens in the broadcast table, at most, and of each partition's summary.
 TABLE, SUMMARY = 65_536, 8192
+#: Steps in a doubling of the count.
+STEPS = 64
 #: Counters a partition holds while it reads; beyond, the rarer half goes (lossy counting).
 HELD = 400_000
 CACHE = 300_000
@@ -36,7 +38,10 @@ def pieces(text: str) -> list[str]:
 
 
 def frequent(docs: DataFrame, text_col: str = "text", table: int = TABLE) -> list[str]:
-    """The most frequent pieces that follow a space, most frequent first; ties by code points."""
+    """The most frequent pieces that follow a space, most frequent first; ties by code points.
+
+    Counts are cut at a step of their logarithm, so there can be somewhat fewer than ``table``.
+    """
     ship(docs.sparkSession)
 
     def run(batches):
@@ -51,8 +56,17 @@ def frequent(docs: DataFrame, text_col: str = "text", table: int = TABLE) -> lis
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
 
     summary = docs.select(text_col).mapInArrow(run, "piece string, n bigint").where("piece <> ''")
-    top = summary.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(table)
-    return [r.piece for r in top.collect()]  # at most ``table`` rows
+    counts = stored(summary.groupBy("piece").agg(F.sum("n").alias("n")).withColumn("step", (F.log2("n") * STEPS).cast("int")), "pieces")
+    # how many pieces each step of the (logarithmic) count has: a few thousand rows, whatever the corpus
+    room, cut = table, None
+    for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():
+        if r["count"] > room:
+            break
+        room, cut = room - r["count"], r.step
+    if cut is None:
+        return []
+    top = counts.where(F.col("step") >= cut).select("piece", "n").collect()  # at most ``table`` rows
+    return [r.piece for r in sorted(top, key=lambda r: (-r.n, r.piece))]
 
 
 def piece_lengths(vocab: Vocabulary, todo: list[str]) -> np.ndarray:
