@@ -307,14 +307,14 @@ def st_distinct(spark, d):
     return _docs(spark, d, "source").select(F.trim("source").alias("name")).where("name <> ''").distinct()
 
 
-_SIDES = "a AS (SELECT DISTINCT trim(c_mktsegment || '->' || c_nationkey) AS chain FROM customer WHERE c_acctbal > 0), b AS (SELECT DISTINCT trim(c_mktsegment || '->' || c_nationkey) AS chain FROM customer WHERE c_acctbal < 5000)"
+_SIDES = "a AS (SELECT DISTINCT trim(c_mktsegment || '->' || c_nationkey) AS chain FROM customer WHERE c_acctbal > 9000), b AS (SELECT DISTINCT trim(c_mktsegment || '->' || c_nationkey) AS chain FROM customer WHERE c_acctbal < 0)"
 
 
 @query(f"WITH {_SIDES} SELECT 'left' AS side, chain FROM a WHERE chain NOT IN (SELECT chain FROM b) UNION ALL SELECT 'right', chain FROM b WHERE chain NOT IN (SELECT chain FROM a)")
 def st_differences(spark, d):
     """Lines in one of two listings alone."""
     c = table(spark, d, "customer").withColumn("chain", F.concat_ws("->", "c_mktsegment", F.col("c_nationkey").cast("string")))
-    return callgraph.differences(c.where("c_acctbal > 0"), c.where("c_acctbal < 5000"))
+    return callgraph.differences(c.where("c_acctbal > 9000"), c.where("c_acctbal < 0"))
 
 
 @query("""SELECT event_id, user_id, last_value(CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN event_id END IGNORE NULLS) OVER (
