@@ -12,6 +12,7 @@ by itself is weak evidence and gains from other hits within the window.
 
 from __future__ import annotations
 
+import math
 import re
 
 import pyarrow as pa
@@ -19,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, strings
+from ..runtime import ship, stored
+from .common import add_columns, blocks, strings
 
 #: Terms that are always in the lexicon.
 BASE = ("idiot", "moron", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "stupid", "clown")
@@ -29,10 +31,10 @@ FUZZY_FROM = 5
 TWO_FROM = 9
 #: Labelled documents that terms are learned from: toxic ones, and for each of them this many others.
 SAMPLE_TOXIC, OTHERS = 2000, 2
-#: Distinct preceding words that a learned term has in toxic documents, at least: so many, and this share of the documents.
-MIN_CONTEXTS, MIN_SHARE = 6, 0.01
-#: A learned term's occurrences in other documents, as a share of those contexts, at most.
-MAX_ELSEWHERE = 0.02
+#: Share of wrong ones among the learned terms of a language, in expectation at most (Benjamini-Hochberg).
+FALSE_TERMS = 0.05
+#: A learned term's share of the toxic documents over its share of the others, at least.
+TIMES_ELSEWHERE = 40
 WINDOW = 12
 THRESHOLD = 1.0
 CACHE = 500_000
@@ -41,6 +43,10 @@ _CUES = frozenset("said says say called calls wrote writes quote quoted quotes t
 _OPEN, _CLOSE = {"“": "”", "«": "»", "„": "“", "‘": "’"}, set("”»’")
 
 
+def errors_allowed(term: str) -> int:
+    return 0 if len(term) < FUZZY_FROM else 1 if len(term) < TWO_FROM else 2
+
+
 class Matcher:
     """Words to (term, errors), by the product of trie and automata."""
 
@@ -49,7 +55,7 @@ class Matcher:
         self.term: list[str | None] = [None]
         self.allowed: list[int] = [0]  # errors that any term below the node allows
         for t in sorted(set(terms)):
-            most = 0 if len(t) < FUZZY_FROM else 1 if len(t) < TWO_FROM else 2
+            most = errors_allowed(t)
             node = 0
             self.allowed[0] = max(self.allowed[0], most)
             for c in t:
@@ -89,7 +95,7 @@ class Matcher:
             found = self.number[key] = len(self.states)
             self.states.append(nodes)
             self.moves.append({})
-            ends = [(e, self.term[n]) for n, e in key if self.term[n] and e <= (0 if len(self.term[n]) < FUZZY_FROM else 1 if len(self.term[n]) < TWO_FROM else 2)]
+            ends = [(e, self.term[n]) for n, e in key if self.term[n] and e <= errors_allowed(self.term[n])]
             best = min(ends, default=None)
             self.final.append(best and (best[1], best[0]))
         return found
@@ -215,33 +221,95 @@ def toxicity(docs: DataFrame, terms: tuple[str, ...] = BASE, known: frozenset[st
     return add_columns(docs, make, fields, text_col)
 
 
+def _chance(a: int, n: int, toxic: int, others: int) -> float:
+    """The chance of ``a`` or more toxic documents among the ``n`` that have a word, if it marks nothing (Fisher's exact test).
+
+    Where labels of toxic documents are the majority, which says how they were picked, a document counts as toxic by an even chance.
+    """
+
+    def ways(n, k):
+        return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+    if others < toxic:
+        return sum(math.exp(ways(n, k) - n * math.log(2)) for k in range(a, n + 1))
+    return sum(math.exp(ways(toxic, k) + ways(others, n - k) - ways(toxic + others, n)) for k in range(max(a, n - others), min(n, toxic) + 1))
+
+
+def _marking(words: list[tuple[str, int, int]], sizes: dict[int, int], toxic: int, others: int) -> set[str]:
+    """Of one language's ``words`` (with toxic documents and others that have them), those that mark toxic documents.
+
+    ``sizes`` has the words of the language by documents that have them. Words too rare to tell of anything aren't
+    counted as tests (Tarone).
+    """
+    least, tests = 1, sum(sizes.values())
+    while least < toxic and _chance(least, least, toxic, others) > FALSE_TERMS / max(1, tests):
+        tests -= sizes.get(least, 0)
+        least += 1
+    found = sorted((_chance(a, a + b, toxic, others), w) for w, a, b in words if a + b >= least)
+    good = [k for k, (p, _) in enumerate(found, 1) if p <= FALSE_TERMS * k / max(1, tests)]
+    return {w for _, w in found[: max(good, default=0)]}
+
+
+def _word_counts(texts: DataFrame) -> DataFrame:
+    """``(lang, word, before, toxic, others)`` of ``(lang, toxic, text)``: documents that have the word, by parts of batches.
+
+    A toxic document counts at one of its places; the other places have 0, for their preceding words.
+    """
+    ship(texts.sparkSession)
+
+    def run(batches):
+        for whole, a, b in ((batch, a, b) for batch in batches for a, b in blocks(batch.column("text"))):
+            part = whole.slice(a, b - a)
+            counts: dict[tuple, list[int]] = {}
+            for lang, toxic, text in zip(part.column("lang").to_pylist(), part.column("toxic").to_pylist(), strings(part.column("text")).to_pylist()):
+                words, seen = _WORD.findall(text.lower()), set()
+                for word, before in zip(words, ["", *words]):
+                    n = counts.setdefault((lang, word, before if toxic else None), [0, 0])
+                    if word not in seen:
+                        n[1 - toxic] += 1
+                        seen.add(word)
+            keys = list(zip(*counts)) or [()] * 3
+            sums = list(zip(*counts.values())) or [()] * 2
+            yield pa.RecordBatch.from_arrays([*[pa.array(k, pa.string()) for k in keys], *[pa.array(k, pa.int64()) for k in sums]], names=["lang", "word", "before", "toxic", "others"])
+
+    return texts.select("lang", "toxic", "text").mapInArrow(run, "lang string, word string, before string, toxic bigint, others bigint")
+
+
 def learn_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_TOXIC) -> tuple[tuple[str, ...], frozenset[str]]:
     """Terms that mark toxic documents, with the base terms; and words of other documents near them.
 
-    Read from ``sample`` toxic labelled documents and ``OTHERS`` times as many others, by least hash. A term is
-    counted by its distinct preceding words, so that copies of one document count once. Null labels are passed over.
+    Read from ``sample`` toxic labelled documents and ``OTHERS`` times as many others, by least hash. Words are
+    judged within their language, by an exact test of the toxic documents and the others that have them: how many
+    documents it takes follows from the table, there is no fixed number. Equal texts count once, and no word has
+    more toxic documents than distinct preceding words, for the sake of near copies. Null labels are passed over.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     order = F.xxhash64("doc_id")
-
-    def texts(toxic: int, n: int) -> DataFrame:
-        few = known.where(F.col("toxic") == toxic).orderBy(order, "doc_id").limit(n).select("doc_id").distinct()
-        # at most n rows, whatever the tables hold
-        some = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
-        return some.select(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)).alias("words"))
-
-    pairs = texts(1, sample).select(F.explode(F.expr("array_distinct(transform(words, (w, i) -> struct(w AS word, if(i > 0, words[i - 1], '') AS before)))")).alias("p"))
-    often = pairs.select("p.word", "p.before").distinct().groupBy("word").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= MIN_CONTEXTS)
-    counts = {r.word: r.contexts for r in often.collect()}  # bounded by the sample
-    toxic_docs = known.where(F.col("toxic") == 1).limit(sample).count()
-    counts = {w: c for w, c in counts.items() if c >= MIN_SHARE * toxic_docs}
-    lengths = {len(t) + k for t in BASE for k in (-2, -1, 0, 1, 2)} | {len(w) + k for w in counts for k in (-1, 0, 1)}
-    others = texts(0, sample * OTHERS).select(F.explode("words").alias("word")).where(F.length("word").isin(sorted(lengths)))
-    elsewhere = {r.word: r.n for r in others.groupBy("word").agg(F.count("*").alias("n")).collect()}
-    terms = {w for w, c in counts.items() if len(w) > 2 and not w.isdigit() and elsewhere.get(w, 0) <= MAX_ELSEWHERE * c} | set(BASE)
+    of = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(n).distinct() for k, n in ((1, sample), (0, sample * OTHERS))]
+    # at most so many rows, whatever the tables hold
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    some = docs.select("doc_id", "text", lang.alias("lang")).where("text IS NOT NULL").join(F.broadcast(of[0].unionByName(of[1])), "doc_id")
+    some = stored(some.select("lang", "toxic", "text", F.xxhash64("text").alias("hash")).dropDuplicates(["lang", "toxic", "hash"]), "labelled")
+    size = {(r.lang, r.toxic): r.n for r in some.groupBy("lang", "toxic").agg(F.count("*").alias("n")).collect()}
+    totals = {lg: (n, size.get((lg, 0), 0)) for (lg, toxic), n in size.items() if toxic}
+    met = _word_counts(some).groupBy("lang", "word", "before").agg(F.sum("toxic").alias("toxic"), F.sum("others").alias("others"))
+    met = met.groupBy("lang", "word").agg(F.sum("toxic").alias("toxic"), F.count("before").alias("contexts"), F.sum("others").alias("others"))
+    met = stored(met, "words")
+    sizes: dict[str, dict[int, int]] = {lg: {} for lg in totals}
+    for r in met.groupBy("lang", (F.col("toxic") + F.col("others")).alias("docs")).agg(F.count("*").alias("n")).collect():
+        if r.lang in sizes:
+            sizes[r.lang][r.docs] = r.n
+    terms = set(BASE)
+    for lg, (n_toxic, n_others) in totals.items():
+        # bounded by the sample
+        often = met.where((F.col("lang") == lg) & (F.length("word") > 2) & ~F.col("word").rlike("^[0-9]+$")).select("word", F.least("toxic", "contexts").alias("a"), F.col("others").alias("b"))
+        often = often.where((F.col("a") > 1) & (F.col("a") * n_others >= TIMES_ELSEWHERE * n_toxic * F.col("b")))
+        terms |= _marking([(r.word, r.a, r.b) for r in often.collect()], sizes[lg], n_toxic, n_others)
     near = Matcher(tuple(terms))
-    return tuple(sorted(terms)), frozenset(w for w in elsewhere if w not in terms and near.match(w))
+    lengths = sorted({len(t) + k for t in terms for k in range(-errors_allowed(t), errors_allowed(t) + 1)})
+    words = met.where((F.col("others") > 0) & F.length("word").isin(lengths)).select("word").distinct()
+    return tuple(sorted(terms)), frozenset(r.word for r in words.collect() if r.word not in terms and near.match(r.word))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,6 +208,20 @@ def test_learned_terms(docs, labels, none, spark):
     assert "vilekin" in toxicity.learn_terms(spark.createDataFrame(rows, SCHEMA), marks)[0]
 
 
+def test_terms_of_a_small_language(spark):
+    """A word of 4 in 6 toxic German documents among 400 English ones; 'gleich' is in every second document of either kind."""
+    rows, marks = [], []
+    for k in range(446):
+        lang, toxic = ("en", k % 8 == 0) if k < 400 else ("de", k < 406)
+        words = [f"{lang}{k}a", "gleich" if k % 2 else f"{lang}{k}b", f"{lang}{k}c"] + (["fieswort", f"{lang}{k}d"] if 400 <= k < 404 else [])
+        rows.append((k, " ".join(words), lang, "s", 9))
+        marks.append((k, 1, int(toxic)))
+    copies = [(1000 + k, "kopie schlimmwort", "de", "s", 9) for k in range(9)]
+    marks += [(1000 + k, 1, 1) for k in range(9)]
+    terms, _ = toxicity.learn_terms(spark.createDataFrame(rows + copies, SCHEMA), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    assert set(terms) == {"fieswort", *toxicity.BASE}
+
+
 # 4: near-duplicates
 
 
