@@ -367,6 +367,25 @@ def test_crf_gradient_learns():
     assert (states == np.repeat(1 - np.array(q), [len(r) for r in rows])).mean() > 0.99
 
 
+def test_crf_is_fitted_on_all_lines(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit_crf", lambda rows, q: seen.extend(len(r) for r in rows))
+    texts = ["\n".join(f"line {i} of the text" for i in range(n)) for n in (1500, 3)]
+    marks = spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    quality.train_rules(spark.createDataFrame([(k, t, "en", "s", 9) for k, t in enumerate(texts)], SCHEMA), marks)
+    assert seen == [1500, 3]
+
+
+def test_crf_blocks_of_long_documents(monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [rng.random((n, len(quality.LINE_NAMES))).astype(np.float32) * 0.1 for n in (3000, 1600, 1500, 20, 3, 1)]
+    q = np.array([0, 1, 0, 1, 0, 1])
+    one = quality.fit_crf(rows, q, steps=3)
+    monkeypatch.setattr(quality, "FIT_BLOCK", 1)
+    each = quality.fit_crf(rows, q, steps=3)
+    assert np.isfinite(one["w"]).all() and np.allclose(one["w"], each["w"]) and np.allclose(one["trans"], each["trans"])
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
