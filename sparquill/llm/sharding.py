@@ -5,7 +5,8 @@ over the whole table's extent) at the weighted median of that dimension, weights
 until every leaf fits. All nodes of a level are split together, and their medians are found by
 histograms that are refined: each round sums bytes by (node, bin), a map-side combined aggregation,
 finds the bin where half of the node's bytes are reached, and bins that bin again, until it is a single
-value. Medians are exact, no round sorts the rows, and texts are read once, for their length.
+value. Medians are exact, no round sorts the rows, and texts are read once, for their length. A string
+goes by its first seven bytes where these tell all values of its dimension apart, else by its rank among them.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ BROADCAST_NODES = 200_000
 
 
 def _ordinal(field: T.StructField) -> F.Column:
-    """A whole number that keeps the column's order: of a string its first seven bytes, of a fraction 2**-20 steps."""
+    """A whole number that keeps the column's order: of a fraction 2**-20 steps; a string stays, for ``_numbered``."""
     c = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         # a quarter of the range on either side is left for differences
@@ -37,7 +38,35 @@ def _ordinal(field: T.StructField) -> F.Column:
         return F.unix_micros(c.cast("timestamp"))
     if isinstance(field.dataType, T.BooleanType):
         return c.cast("long")
-    return F.conv(F.rpad(F.substring(F.hex(F.encode(c.cast("string"), "utf-8")), 1, 14), 14, "0"), 16, 10).cast("long")
+    return c.cast("string")
+
+
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the string column ``name`` replaced by whole numbers that keep its order and tell all its values apart; null stays.
+
+    First seven bytes, if no two values share them; else dense ranks, by a distributed distinct and sort.
+    """
+
+    def head(c):
+        return F.conv(F.rpad(F.substring(F.hex(F.encode(c, "utf-8")), 1, 14), 14, "0"), 16, 10).cast("long")
+
+    values = stored(rows.where(F.col(name).isNotNull()).select(F.col(name).alias("value")).distinct(), "values")
+    if values.groupBy(head("value").alias("head")).count().where("count > 1").limit(1).count() == 0:
+        return rows.withColumn(name, head(name))
+    values = values.orderBy("value")
+    # the upper bits of this id are the partition's number, the lower ones the place in it
+    values = stored(values.withColumn("at", F.monotonically_increasing_id()), "values")
+    part = F.shiftright("at", 33)
+    counts = sorted((r.part, r.n) for r in values.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    firsts, total = [], 0
+    for k, n in counts:
+        firsts.append((k, total))
+        total += n
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(firsts, "part long, first long"))
+    ranks = values.join(offsets, part == F.col("part")).select("value", (F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("rank"))
+    small = F.broadcast if total <= BROADCAST_NODES else (lambda x: x)
+    joined = rows.join(small(ranks), F.col(name) == F.col("value"), "left")
+    return joined.select(*[F.col("rank").alias(c) if c == name else F.col(c) for c in rows.columns])
 
 
 def _value(dims: list[str], by: str = "dim") -> F.Column:
@@ -57,6 +86,11 @@ def kd_shards(docs: DataFrame, target_bytes: int = TARGET_BYTES, dims: tuple[str
     names = [f"d{k}" for k in range(len(fields))]
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.octet_length(F.col(f"`{text_col}`")).cast("long"), F.lit(0)).alias("bytes"), *[_ordinal(f).alias(n) for f, n in zip(fields, names)])
     rows = stored(rows, "metadata")
+    named_values = [n for n in names if isinstance(rows.schema[n].dataType, T.StringType)]
+    for n in named_values:
+        rows = _numbered(rows, n)
+    if named_values:
+        rows = stored(rows, "metadata")
     least = rows.agg(*[F.min(n).alias(n) for n in names], *[F.max(n).alias("m" + n) for n in names]).first()
     lows = [least[n] - 1 if least[n] is not None else 0 for n in names]
     spans = [max(1, (least["m" + n] or 0) - low) for n, low in zip(names, lows)]

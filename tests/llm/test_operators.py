@@ -155,6 +155,16 @@ def test_shards_of_odd_rows(odd, none, spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 6
 
 
+def test_long_strings_are_told_apart(spark):
+    names = ["commoncrawl-2023", "commoncrawl-2024", "https://a.org", "https://b.org", "維基百科", "維基百書", None]
+    docs = spark.createDataFrame([(k, "x" * (k % 5 + 1), "en", names[k % 7], k) for k in range(70)], SCHEMA).repartition(5)
+    got = {r.doc_id: (r.shard, r.shard_bytes) for r in sharding.kd_shards(docs, 1, ("source",)).collect()}
+    order = {n: i for i, n in enumerate(sorted(n for n in names if n))}
+    rows = [(k, k % 5 + 1, [order.get(names[k % 7], -1)]) for k in range(70)]
+    assert {k: v[0] for k, v in got.items()} == brute_kd(rows, 1, [7])
+    assert len({v[0] for v in got.values()}) == 7 and all(v[1] == 30 for v in got.values())
+
+
 # 3: toxicity
 
 
