@@ -5,9 +5,10 @@ nodes reachable with the fewest errors each. It is determinised as it is needed,
 costs a table look-up a letter and most words reach the dead state after a few. A worker keeps
 what it found for a word. Every document is scored whole where it lies; nothing is shuffled.
 
-A hit counts by its likeness to the term and by the words around it: inside quotation marks, or
-next to a word of reporting, it is mention rather than abuse and counts less; a misspelled term
-by itself is weak evidence and gains from other hits within the window.
+A hit counts by its likeness to the term and by the words around it: inside quotation marks it is
+mention rather than abuse and counts less, still less beside a word of reporting. One error counts
+like none (words that other documents have aren't taken for misspellings); two errors are half the
+evidence alone, and whole beside another hit within the window.
 """
 
 from __future__ import annotations
@@ -168,12 +169,12 @@ class Scorer:
             if errors:
                 wrong += 1
                 company = (n and i - hits[n - 1][0] <= WINDOW) or (n + 1 < len(hits) and hits[n + 1][0] - i <= WINDOW)
-                value = (0.6 if company else 0.25) / errors
+                value = 1.0 if errors == 1 or company else 0.5
             a, b = spans[i]
             while k < len(inside) and inside[k][1] <= a:
                 k += 1
             in_quotes = k < len(inside) and inside[k][0] < a and b <= inside[k][1]
-            reported = any(w in _CUES for w in words[max(0, i - WINDOW) : i + WINDOW + 1])
+            reported = in_quotes and any(w in _CUES for w in words[max(0, i - WINDOW) : i + WINDOW + 1])
             quoted += in_quotes
             value *= (0.25 if in_quotes else 1.0) * (0.5 if reported else 1.0)
             total += value

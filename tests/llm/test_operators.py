@@ -208,6 +208,14 @@ def test_toxic_scores(spark, odd, none):
     assert toxicity.toxicity(odd).count() == len(ODD) and toxicity.toxicity(none).count() == 0
 
 
+def test_lone_and_scattered_misspellings(spark):
+    far = " and then there came another dozen of words that say nothing of any kind at all "
+    texts = ["you idi0t", far + "idi0t" + far, "idi0t" + far + "pathetik", "w0rthles", "w0rthles and d1sgustin", "w0rthles" + far + "d1sgustin", "he wrote: “you idi0t”", "they said you are an idiot", "an oron", "scvm"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r.toxic for r in toxicity.toxicity(df, known=frozenset({"oron"})).collect()}
+    assert [rows[k] for k in range(10)] == [True, True, True, False, True, True, False, True, False, False]
+
+
 def test_learned_terms(docs, labels, none, spark):
     terms, _ = toxicity.learn_terms(docs, labels)
     assert set(toxicity.BASE) <= set(terms)
