@@ -85,6 +85,13 @@ def test_knn_blocks_and_bad_vectors(spark):
     assert got == {(q, k + 1): int(i) for q in range(60) for k, i in enumerate(np.argsort(-s[q], kind="stable")[:3])}
 
 
+def test_knn_odd_vector_heads_a_block(spark):
+    rows = [(99, [1.0])] + [(k, [float(k), 1.0]) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, vec array<double>").coalesce(1)
+    got = retrieval.knn(df, df.withColumnRenamed("doc_id", "query_id"), 2).where("rank = 1").collect()
+    assert {r.query_id: r.doc_id for r in got} == {99: 99, 0: 0} | {q: 19 for q in range(1, 20)}
+
+
 def test_fusion_of_one_sided_lists(spark):
     a = spark.createDataFrame([(1, 10, 3.0, 1), (1, 11, 1.0, 2)], "query_id long, doc_id long, score double, rank int")
     b = spark.createDataFrame([(1, 12, 0.5, 1)], "query_id long, doc_id long, score double, rank int")
