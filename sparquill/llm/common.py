@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import ship
@@ -105,3 +106,13 @@ def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.Arr
     ship(df.sparkSession)
     schema = T.StructType([df.schema[k] for k in kept] + fields)
     return df.mapInArrow(run, schema)
+
+
+def keyed(df: DataFrame, id_col: str) -> tuple[Column, Column]:
+    """(id as text, hash of all columns): what tells rows apart; rows that have both alike are equal in all columns.
+
+    A null id has a text that no id has. Columns with maps can't be hashed and aren't. A null is hashed by its place.
+    """
+    c = F.col(f"`{id_col}`")
+    hashable = [F.col(f"`{f.name}`") for f in df.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant", "interval"))]
+    return F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), c.cast("string"))), F.xxhash64(*hashable, *[c.isNull() for c in hashable])

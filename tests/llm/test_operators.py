@@ -247,19 +247,76 @@ def hamming(a, b):
     return int(np.bitwise_count(np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8)).sum())
 
 
-@pytest.mark.parametrize("block", range(simhash.BLOCKS))
-def test_trie_join_by_brute_force(block):
-    rng = np.random.default_rng(block)
-    base = rng.integers(0, 256, (40, 16), np.uint8)
-    near = np.repeat(base, 6, 0)
+def near_signatures(seed, n=40, copies=6):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 256, (n, 16), np.uint8)
+    near = np.repeat(base, copies, 0)
     for k in range(len(near)):
         for bit in rng.integers(0, 128, rng.integers(0, 14)):
             near[k, bit // 8] ^= 1 << (bit % 8)
-    sigs = np.concatenate((base, near))
-    keys = simhash.block_keys(sigs, block)
-    want = {(i, j) for i, j in itertools.combinations(range(len(sigs)), 2) if int(np.bitwise_count(keys[i] ^ keys[j])) <= simhash.BUDGET // simhash.BLOCKS and hamming(sigs[i], sigs[j]) <= simhash.BUDGET}
-    got = [(min(i, j), max(i, j)) for a, b in simhash.trie_join(sigs, None, block, 0, 0) for i, j in zip(a.tolist(), b.tolist())]
-    assert len(got) == len(set(got)) and set(got) == want
+    return np.unique(np.concatenate((base, near)), axis=0)
+
+
+def groups_of(n, pairs):
+    parent = list(range(n))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in pairs:
+        a, b = root(i), root(j)
+        parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed,task_rows,hot", [(0, 1 << 20, 64), (1, 1 << 20, 1), (2, 3, 64), (3, 2, 1)])
+def test_trie_join_by_brute_force(seed, task_rows, hot, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_LEAF", hot)
+    words = near_signatures(seed)
+    n = len(words)
+    want = [(i, j) for i, j in itertools.combinations(range(n), 2) if hamming(words[i].tobytes(), words[j].tobytes()) <= simhash.BUDGET]
+    own = np.stack([np.bincount(simhash.half_keys(words, h), minlength=1 << simhash._WIDE) for h in range(10)])
+    chunks, beside = simhash.chunk_counts(own, task_rows)
+    row, task, side = (np.concatenate(c) for c in zip(*[d for h in range(10) for d in simhash.dealt(words, h, chunks, beside)]))
+    a, b = simhash.join_tasks(task, side, words[row])
+    got = {(min(i, j), max(i, j)) for i, j in zip(row[a].tolist(), row[b].tolist())}
+    assert groups_of(n, got) == groups_of(n, want)
+    sizes = Counter(zip(task.tolist(), (side > 1).tolist()))
+    assert task_rows > n or max(sizes.values()) < n / 3
+
+
+def test_copies_of_a_signature_are_bounded():
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 256, (2000, 16), np.uint8)
+    for n in (10**6, 10**8, 10**10):  # signatures, spread evenly
+        own = np.full((10, 1 << simhash._WIDE), n >> simhash._WIDE)
+        chunks, beside = simhash.chunk_counts(own, simhash.TASK_ROWS)
+        made = sum(len(d[0]) for h in range(10) for d in simhash.dealt(words, h, chunks, beside))
+        assert made / len(words) < (80 if n <= 10**8 else 400)
+
+
+def test_hot_clusters_are_gathered():
+    """Near copies of two texts in one leaf: linked within, and kept apart, without all pairs."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 256, (2, 16), np.uint8)
+    base[1, :4] = base[0, :4]
+    words = np.repeat(base, 3000, 0)
+    for k in range(len(words)):
+        for bit in rng.integers(32, 128, 3):
+            words[k, bit // 8] ^= 1 << (bit % 8)
+    task = np.full(len(words), int(simhash.half_keys(words[:1], 0)[0]) << 42, np.int64)
+    a, b = simhash.join_tasks(task, np.zeros(len(words), np.int8), words)
+    roots = groups_of(len(words), zip(a.tolist(), b.tolist()))
+    assert len(set(roots)) == 2 and len(a) == len(words) - 2
+
+
+def test_short_and_numbered_texts_stay_apart(spark):
+    texts = ["invoice total for march was 12 500 eur paid", "invoice total for march was 98 100 usd paid", "order 1 2 3", "order 7 8 9", "order is ok", "ORDER is ok!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.group_id, r.n_links) for r in simhash.near_duplicates(df).collect()}
+    assert got == {k: (k, 0) for k in range(4)} | {4: (4, 0), 5: (4, 0)}
 
 
 def test_groups_by_brute_force(docs):
@@ -296,13 +353,25 @@ def test_copies_are_found(spark, docs):
 
 
 def test_dedup_of_odd_rows(odd, none):
-    groups = {r.doc_id: r.group_id for r in simhash.near_duplicates(odd.withColumn("group", F.lit(1)).withColumn("signature", F.lit("s"))).collect()}
-    assert groups == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8}
+    got = sorted(((r.doc_id or 0, r.group_id, r.keep) for r in simhash.near_duplicates(odd.withColumn("group", F.lit(1)).withColumn("signature", F.lit("s"))).collect()))
+    assert got == [(0, None, True), (1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (4, 4, True), (5, 4, False), (6, 6, True), (7, 7, True), (8, 8, True)]
     left = simhash.deduplicate(odd)
     assert left.columns == odd.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 3, 4, 6, 7, 8]
     assert simhash.near_duplicates(none).count() == 0 and simhash.deduplicate(none).count() == 0
 
 
+def test_texts_under_one_id_and_other_ids(spark):
+    """Two different texts under one id both stay; ids may be strings, and null; extra columns may have any name."""
+    rows = [("a", "one text of some words", 1), ("a", "quite another thing said here", 2), ("b", "one text of some words", 3), (None, "a third text without a name", 4), (None, None, 5), (None, None, 5)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, k int").withColumn("h", F.lit(1)).withColumn("c0", F.lit("x")).withColumn("once", F.lit(2))
+    left = simhash.deduplicate(df)
+    assert left.columns == df.columns and sorted(r.k for r in left.collect()) == [1, 2, 4, 5, 5]
+    again = simhash.deduplicate(df.repartition(3))
+    assert sorted(again.collect(), key=str) == sorted(left.collect(), key=str)
+    links = {(r.doc_id, r.group_id): r.n_links for r in simhash.near_duplicates(df).collect()}
+    assert set(links.values()) == {0} and len(links) == 3
+
+
 def test_components_of_a_long_path(spark):
     n = 200
     order = random.Random(2).sample(range(n), n)
