@@ -8,19 +8,20 @@ the number of copies of a source is its expected value, rounded up or down.
 
 Metadata alone (never texts) is spread over hash buckets; each bucket rounds its documents a source at
 a time, and the one residual of each (bucket, source) goes up a reduction tree, ``FAN_IN`` buckets a
-node, first within the source and at the root across sources. All draws are hashes of the ids, so a
-task that runs again decides alike, and so does another layout of the files.
+node, first within the source and at the root across sources. All draws are hashes of the rows, so a
+task that runs again decides alike, and so does another layout of the files. The rates of sources are a
+table that is joined: there may be as many sources as one likes, and one of them may hold most rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship, stored
-from .common import mix64, unit
+from .common import keyed, mix64, unit
 
 #: The mixture's shares are those of the sources raised to this power, where none are given.
 ALPHA = 0.5
@@ -66,15 +67,46 @@ def pivot(ids: np.ndarray, p: np.ndarray, seed: int) -> tuple[np.ndarray, int, f
     return out, held, a if held >= 0 else 0.0
 
 
-def source_rates(docs: DataFrame, source_col: str, size: F.Column, weights: dict[str, float] | None, budget: float | None, alpha: float = ALPHA) -> dict:
-    """Expected copies of a document of each source. A source without a weight gets none."""
-    totals = {r[0]: float(r[1] or 0) for r in docs.groupBy(source_col).agg(F.sum(size)).collect()}  # a row a source
-    whole = sum(totals.values())
+def source_rates(meta: DataFrame, weights: dict[str, float] | None, budget: float | None, alpha: float = ALPHA) -> DataFrame:
+    """``(key, rate)``: expected copies of a document of each source. A source without a weight gets none."""
+    spark = meta.sparkSession
+    totals = meta.groupBy("key").agg(F.sum(F.col("size") * F.col("rows")).cast("double").alias("total"))
     if weights is None:
-        weights = {s: n**alpha for s, n in totals.items() if n > 0}
-    weights = {s: w for s, w in weights.items() if totals.get(s, 0) > 0 and w > 0}
-    norm = sum(weights.values())
-    return {s: w / norm * (whole if budget is None else budget) / totals[s] for s, w in weights.items()}
+        totals = totals.withColumn("weight", F.pow("total", F.lit(float(alpha))))
+    else:
+        given = [(_key(s), float(w)) for s, w in weights.items() if w > 0]
+        totals = totals.join(spark.createDataFrame(given, "key string, weight double"), "key")
+    totals = stored(totals.where("total > 0"), "sources")
+    whole = meta.agg(F.sum(F.col("size") * F.col("rows"))).first()[0] if budget is None else budget
+    norm = totals.agg(F.sum("weight")).first()[0]
+    return totals.select("key", (F.col("weight") / F.lit(float(norm or 1)) * F.lit(float(whole or 0)) / F.col("total")).alias("rate"))
+
+
+def _key(source: str | None) -> str:
+    return "-" if source is None else "=" + source
+
+
+_PARTS = "node int, k string, h bigint, key string, expected double, copies int, residual double"
+
+
+def rounded(table: pa.Table, seed: int) -> pa.Table:
+    """The rows of a bucket with their copies rounded, a source at a time, in an order by hash; at most one residual a source."""
+    h = table.column("h").to_numpy().astype(np.int64)
+    _, source = np.unique(np.array(table.column("key").to_pylist(), dtype=object), return_inverse=True) if len(h) else (None, np.zeros(0, np.int64))
+    order = np.lexsort((h, mix64(h.view(np.uint64) ^ np.uint64(seed)), source))
+    table, h, source = table.take(pa.array(order)), h[order], source[order]
+    expected = table.column("expected").to_numpy()
+    whole = np.floor(expected + _EPS)
+    part = np.maximum(expected - whole, 0)
+    got, residual = whole.astype(np.int32), np.zeros(len(h))
+    cuts = np.flatnonzero(np.diff(source, prepend=-1, append=-1))
+    for at, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        up, held, mass = pivot(h[at:end], part[at:end], seed)
+        got[at:end] += up
+        if held >= 0:
+            residual[at + held] = mass
+    node = pa.array(np.asarray(table.column("node")).astype(np.int32))
+    return pa.table({"node": node, "k": table.column("k"), "h": pa.array(h), "key": table.column("key"), "expected": pa.array(expected, pa.float64()), "copies": pa.array(got, pa.int32()), "residual": pa.array(residual)})
 
 
 def copies(docs: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17) -> DataFrame:
@@ -83,58 +115,37 @@ def copies(docs: DataFrame, weights: dict[str, float] | None = None, budget: flo
     ``weights`` give the target shares (by characters) of the sources; without them each has its own share to
     the power ``ALPHA``. ``budget`` is the characters of the mixture, those of the input by default. A null source
     is a source too, weighted under the key None. A null or empty text takes no characters but is rounded like
-    its source's others; where a source has no characters at all, its documents get no copy. Rows with a null id
-    get none. Of repeated ids the longest text counts, once.
+    its source's others; where a source has no characters at all, its documents get no copy. Rows that are equal in
+    all columns are one document, which expects as many times the copies; any other row is a document of its own,
+    whatever its id, and a null id is an id like any other. The id may have any type.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
-    meta = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    meta = meta.select("id", "source", size.alias("size")).where("id IS NOT NULL")
-    meta = meta.groupBy("id").agg(F.max(F.struct("size", "source")).alias("m")).select("id", "m.source", "m.size")
-    meta = stored(meta, "mixing")
-    rates = source_rates(meta, "source", F.col("size"), weights, budget)
-    n = meta.count()
-    buckets = max(1, -(-n // BUCKET_ROWS))
-    spread = meta.select("id", "source", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"))
-    schema = "bucket int, id bigint, source string, expected double, copies int, residual double"
-
-    def rounded(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy().astype(np.int64)
-        source = table.column("source").to_pylist()
-        bucket = table.column("bucket").to_numpy()
-        order = np.lexsort((ids, np.array([s or "" for s in source]), np.array([s is not None for s in source]))) if len(ids) else np.zeros(0, np.int64)
-        ids, bucket = ids[order], bucket[order]
-        source = [source[k] for k in order.tolist()]
-        rate = np.array([rates.get(s, 0.0) for s in source], np.float64)
-        whole = np.floor(rate + _EPS)
-        part = np.maximum(rate - whole, 0)
-        got = whole.astype(np.int32)
-        residual = np.zeros(len(ids))
-        at = 0
-        while at < len(ids):
-            end = at
-            while end < len(ids) and source[end] == source[at]:
-                end += 1
-            mixed = np.argsort(mix64(ids[at:end].view(np.uint64) ^ np.uint64(seed)), kind="stable") + at
-            up, held, mass = pivot(ids[mixed], part[mixed], seed)
-            got[mixed] += up
-            if held >= 0:
-                residual[mixed[held]] = mass
-            at = end
-        return pa.table({"bucket": pa.array(bucket, pa.int32()), "id": pa.array(ids, pa.int64()), "source": pa.array(source, pa.string()), "expected": pa.array(rate), "copies": pa.array(got, pa.int32()), "residual": pa.array(residual)})
+    return _copies(docs, weights, budget, id_col, source_col, text_col, seed).select("id", "source", "expected", "copies")
 
-    first = stored(spread.groupBy("bucket").applyInArrow(rounded, schema), "rounded")
-    ups = _resolve(first.where("residual > 0").select("bucket", "id", "source", "residual"), buckets, seed)
-    done = first.join(ups, "id", "left") if ups is not None else first.withColumn("up", F.lit(0))
-    return done.select("id", "source", "expected", (F.col("copies") + F.coalesce("up", F.lit(0))).alias("copies"))
 
-
-def _resolve(residuals: DataFrame, buckets: int, seed: int) -> DataFrame | None:
-    """``(id, up)`` of the residual documents, by the reduction tree: one a (bucket, source), so few."""
+def _copies(docs, weights, budget, id_col, source_col, text_col, seed) -> DataFrame:
+    spark = docs.sparkSession
+    ship(spark)
+    k, h = keyed(docs, id_col)
+    size = F.coalesce(F.length(F.col(f"`{text_col}`")), F.lit(0)).cast("long")
+    meta = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), size.alias("size"), k.alias("k"), h.alias("h"))
+    meta = meta.groupBy("k", "h").agg(F.first("id").alias("id"), F.first("source").alias("source"), F.first("size").alias("size"), F.count("*").alias("rows"))
+    key = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
+    meta = stored(meta.withColumn("key", key), "mixing")
+    rates = source_rates(meta, weights, budget)
+    buckets = max(1, -(-meta.count() // BUCKET_ROWS))
+    expected = F.coalesce(F.col("rate"), F.lit(0.0)) * F.col("rows")
+    spread = meta.join(rates, "key", "left").select(F.pmod(F.xxhash64("k", "h"), F.lit(buckets)).cast("int").alias("node"), "k", "h", "key", expected.alias("expected"))
+    first = stored(spread.groupBy("node").applyInArrow(lambda t: rounded(t, seed), _PARTS), "rounded")
+    ups = _resolve(first.where("residual > 0").select("node", "k", "h", "key", "residual"), buckets, seed)
+    done = meta.join(first.select("k", "h", "expected", "copies"), ["k", "h"]).join(ups, ["k", "h"], "left")
+    return done.select("k", "h", "id", "source", "rows", "expected", (F.col("copies") + F.coalesce("up", F.lit(0))).alias("copies"))
+
+
+def _resolve(residuals: DataFrame, buckets: int, seed: int) -> DataFrame:
+    """``(k, h, up)`` of the residual documents, by the reduction tree: one a (bucket, source), so few."""
     done, level, width = [], 0, buckets
-    now = residuals.withColumn("node", F.col("bucket"))
-    schema = "node int, id bigint, source string, residual double, up int"
+    now = residuals
+    schema = "node int, k string, h bigint, key string, residual double, up int"
     while True:
         level += 1
         draw = seed + level
@@ -142,27 +153,25 @@ def _resolve(residuals: DataFrame, buckets: int, seed: int) -> DataFrame | None:
         width = -(-width // FAN_IN)
 
         def reduce(table: pa.Table) -> pa.Table:
-            ids, p = table.column("id").to_numpy().astype(np.int64), table.column("residual").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, p = ids[order], p[order]
-            source = [table.column("source").to_pylist()[k] for k in order.tolist()]
-            up, held, mass = pivot(ids, p, draw)
-            left = np.zeros(len(ids))
+            h = table.column("h").to_numpy().astype(np.int64)
+            order = np.argsort(h, kind="stable")
+            table, h = table.take(pa.array(order)), h[order]
+            up, held, mass = pivot(h, table.column("residual").to_numpy(), draw)
+            left = np.zeros(len(h))
             if held >= 0:
                 left[held] = mass
-            node = np.full(len(ids), table.column("node")[0].as_py() if len(ids) else 0)
-            return pa.table({"node": pa.array(node, pa.int32()), "id": pa.array(ids), "source": pa.array(source, pa.string()), "residual": pa.array(left), "up": pa.array(up.astype(np.int32))})
+            return pa.table({"node": table.column("node"), "k": table.column("k"), "h": pa.array(h), "key": table.column("key"), "residual": pa.array(left), "up": pa.array(up.astype(np.int32))})
 
-        grouped = now.select((F.col("node") / F.lit(1 if root else FAN_IN)).cast("int").alias("node"), "id", "source", "residual")
+        grouped = now.select((F.col("node") / F.lit(1 if root else FAN_IN)).cast("int").alias("node"), "k", "h", "key", "residual")
         # beside the node, the source is part of the key, but at the root
-        keyed = grouped.groupBy("node") if root else grouped.withColumn("key", F.col("source")).groupBy("node", "key")
-        step = stored(keyed.applyInArrow(reduce, schema), "residuals")
-        done.append(step.where("residual = 0").select("id", "up"))
+        keys = ["node"] if root else ["node", "key"]
+        step = stored(grouped.groupBy(*keys).applyInArrow(reduce, schema), "residuals")
+        done.append(step.where("residual = 0").select("k", "h", "up"))
         now = step.where("residual > 0")
         if root:
             # the whole mixture's last residual: rounded without bias
-            ids = F.xxhash64(F.col("id"), F.lit(seed))
-            done.append(now.select("id", ((F.pmod(ids, F.lit(1 << 30)) / F.lit(float(1 << 30))) < F.col("residual")).cast("int").alias("up")))
+            draws = F.xxhash64("k", "h", F.lit(seed))
+            done.append(now.select("k", "h", ((F.pmod(draws, F.lit(1 << 30)) / F.lit(float(1 << 30))) < F.col("residual")).cast("int").alias("up")))
             break
     out = done[0]
     for d in done[1:]:
@@ -171,11 +180,15 @@ def _resolve(residuals: DataFrame, buckets: int, seed: int) -> DataFrame | None:
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17) -> DataFrame:
-    """The mixture: the rows of ``docs``, each as many times as ``copies`` says."""
-    wanted = copies(docs, weights, budget, id_col, source_col, text_col, seed).where("copies > 0").select(F.col("id").alias("__id"), F.col("copies").alias("__copies"))
-    some = docs.dropDuplicates([id_col]) if id_col in docs.columns else docs
-    joined = some.join(wanted, some[id_col].cast("long") == F.col("__id"))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__id", "__copies", "__copy")
+    """The mixture: the rows of ``docs``, each as many times as ``copies`` says, with all their columns."""
+    wanted = stored(_copies(docs, weights, budget, id_col, source_col, text_col, seed).where("copies > 0").select("k", "h", "copies", "rows"), "copies")
+    repeated = not wanted.where("rows > 1").isEmpty()
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that no column's name clashes
+    k, h = keyed(docs, id_col)
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], k.alias("k"), h.alias("h")).join(wanted, ["k", "h"])
+    if repeated:  # rows that are equal in all columns: one of them stands for all
+        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("k", "h").orderBy("rows"))).where("nth = 1")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -414,14 +414,98 @@ def test_copies_add_up(docs, monkeypatch):
     assert sum(r.expected * size[r.id] for r in by["src0"]) == pytest.approx(0.5 * whole)
 
 
-def test_mix_repeats_rows(odd, none, docs):
-    mixed = mixing.mix(odd.withColumn("copies", F.lit(9)))
-    assert mixed.columns == [*odd.columns, "copies"] and mixed.where("doc_id IS NULL").count() == 0
+def brute_copies(rows, seed):
+    """Copies of (k, h, source, expected) rows by the definition, one bucket of three at a time, all in plain Python."""
+
+    def meet(items, draw):
+        """items: (key, h, mass). ({key: 0 or 1}, the residual item or None)."""
+        out, held = {}, None
+        for key, h, b in items:
+            u = float(common.unit(common.mix64(np.array([h], np.int64).view(np.uint64) ^ common.mix64(np.array([draw], np.uint64))))[0])
+            if b <= 1e-9 or b >= 1 - 1e-9:
+                out[key] = int(b > 0.5)
+            elif held is None:
+                held = (key, h, b)
+            else:
+                a = held[2]
+                one, other, s = held, (key, h, b), a + b
+                if s < 1:
+                    stays, gone = (one, other) if u * s < a else (other, one)
+                    out[gone[0]], held = 0, (stays[0], stays[1], s)
+                else:
+                    up, stays = (one, other) if u * (2 - s) < 1 - b else (other, one)
+                    out[up[0]], held = 1, (stays[0], stays[1], s - 1)
+                if held[2] <= 1e-9 or held[2] >= 1 - 1e-9:
+                    out[held[0]], held = int(held[2] > 0.5), None
+        return out, held
+
+    total, up, left = {}, {}, {}
+    for k, h, source, expected, bucket in rows:
+        total[k, h] = math.floor(expected + 1e-9)
+    for place in sorted({(r[4], r[2]) for r in rows}):
+        some = [r for r in rows if (r[4], r[2]) == place]
+        some.sort(key=lambda r: (int(common.mix64(np.array([r[1]], np.int64).view(np.uint64) ^ np.uint64(seed))[0]), r[1]))
+        got, held = meet([((r[0], r[1]), r[1], max(r[3] - total[r[0], r[1]], 0)) for r in some], seed)
+        up |= got
+        if held:
+            left.setdefault(place, []).append(held)
+    width, level = max(r[4] for r in rows) + 1, 0
+    while True:
+        level += 1
+        root = width == 1
+        width = -(-width // mixing.FAN_IN)
+        new = {}
+        for (node, source), items in left.items():
+            new.setdefault((node if root else node // mixing.FAN_IN, None if root else source), []).extend(items)
+        left = {}
+        for (node, source), items in new.items():
+            got, held = meet(sorted(items, key=lambda i: i[1]), seed + level)
+            up |= got
+            if held and root:
+                return {key: n + up.get(key, 0) for key, n in total.items()}, held
+            if held:
+                left.setdefault((node, source), []).append(held)
+        if root:
+            return {key: n + up.get(key, 0) for key, n in total.items()}, None
+
+
+def test_copies_by_brute_force(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 5)
+    some = docs.unionByName(docs.where("doc_id < 20"))  # repeated rows
+    rows = mixing._copies(some, None, None, "doc_id", "source", "text", 17).withColumn("bucket", F.pmod(F.xxhash64("k", "h"), F.lit(-(-200 // 5)))).collect()
+    sizes = {(r.doc_id): r.n_chars for r in docs.collect()}
+    weight = Counter()
+    for r in rows:
+        weight[r.source] += sizes[r.id] * r.rows
+    whole = sum(weight.values())
+    norm = sum(w**0.5 for w in weight.values())
+    for r in rows:
+        assert r.expected == pytest.approx(r.rows * weight[r.source] ** 0.5 / norm * whole / weight[r.source])
+    want, last = brute_copies([(r.k, r.h, r.source, r.expected, r.bucket) for r in rows], 17)
+    got = {(r.k, r.h): r.copies for r in rows}
+    if last:
+        assert got.pop(last[0]) - want.pop(last[0]) in (0, 1)
+    assert got == want and max(r.rows for r in rows) == 2
+
+
+def test_mix_repeats_rows(odd, none, docs, spark):
+    mixed = mixing.mix(odd.withColumn("copies", F.lit(9)).withColumn("k", F.lit("k")).withColumn("c1", F.lit(1)))
+    assert mixed.columns == [*odd.columns, "copies", "k", "c1"]
     wanted = {r.id: r.copies for r in mixing.copies(docs).collect() if r.copies}
     assert Counter(r.doc_id for r in mixing.mix(docs).collect()) == Counter(wanted)
     assert mixing.mix(none).count() == 0 and mixing.copies(none).count() == 0
 
 
+def test_mix_keeps_all_kinds_of_rows(spark):
+    """String ids, null ids, two texts under one id, repeated rows, a null source: all have their copies."""
+    rows = [("a", "long text of one", "s"), ("a", "short", "s"), (None, "nameless", "s"), (None, "nameless too", None), ("b", "twice the same", None), ("b", "twice the same", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    size = sum(len(t) for _, t, s in rows if s)
+    other = sum(len(t) for _, t, s in rows if not s)
+    got = Counter((r.doc_id, r.text) for r in mixing.mix(df, {"s": 3 * size, None: 2 * other}, 3 * size + 2 * other).collect())
+    assert got == {("a", "long text of one"): 3, ("a", "short"): 3, (None, "nameless"): 3, (None, "nameless too"): 2, ("b", "twice the same"): 4}
+
+
 # 6, 10: quality
 
 
