@@ -7,7 +7,7 @@ from .chat import OP7_SQL, op7_perspectives
 from .fingerprint import op8_fingerprints
 from .mixing import op5_mixing
 from .quality import op6_quality_rules, op10_quality_classifier
-from .sharding import op2_kd_sharding
+from .sharding import OP2_SQL, op2_kd_sharding
 from .simhash import op4_simhash_dedup
 from .tokens import op9_token_counts
 from .toxicity import op3_toxicity
@@ -24,4 +24,4 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_quality_classifier": op10_quality_classifier,
 }
-SQL = {"op7_perspectives": OP7_SQL}
+SQL = {"op2_kd_sharding": OP2_SQL, "op7_perspectives": OP7_SQL}

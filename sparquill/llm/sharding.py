@@ -1,141 +1,226 @@
 """Sharding by a k-d tree over metadata.
 
-A node whose documents take more than the target bytes is split along its widest dimension (extent
-over the whole table's extent) at the weighted median of that dimension, weights being bytes; so on
-until every leaf fits. All nodes of a level are split together, and their medians are found by
-histograms that are refined: each round sums bytes by (node, bin), a map-side combined aggregation,
-finds the bin where half of the node's bytes are reached, and bins that bin again, until it is a single
-value. Medians are exact, no round sorts the rows, and texts are read once, for their length. A string
-goes by its first seven bytes where these tell all values of its dimension apart, else by its rank among them.
+A node whose documents take more than the target bytes is split along its widest dimension (extent over
+the whole table's extent) at the weighted median of that dimension, weights being bytes; so on until every
+leaf fits. Nodes of more than ``LOCAL_ROWS`` rows are split level by level, all nodes of a level together.
+Their medians are found by histograms of value prefixes: each round sums bytes by (node, next bits), a
+map-side combined aggregation, and goes on below the prefix where half of the node's bytes are reached,
+until it is a single value. What is smaller is split to its leaves in one task of its own, a node at a time,
+by the same rule. Medians are exact either way, no round sorts the rows, and texts are read once, for their length.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import stored
+from ..runtime import ship, stored
 
 TARGET_BYTES = 64 << 20
 DIMENSIONS = ("lang", "source", "n_chars", "doc_id")
-#: Bins of a node's histogram in a round.
-BINS = 4096
-#: Split rows that are broadcast; with more nodes than that, no node holds much and the join shuffles.
-BROADCAST_NODES = 200_000
-
-
-def _ordinal(field: T.StructField) -> F.Column:
-    """A whole number that keeps the column's order: of a fraction 2**-20 steps; a string stays, for ``_numbered``."""
-    c = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        # a quarter of the range on either side is left for differences
-        return F.least(F.greatest(c.cast("long"), F.lit(-(1 << 61))), F.lit(1 << 61))
-    if isinstance(field.dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
-        d = c.cast("double")
-        return F.when(F.isnan(d), F.lit(None)).otherwise(F.least(F.greatest(d * (1 << 20), F.lit(-(2.0**60))), F.lit(2.0**60)).cast("long"))
-    if isinstance(field.dataType, (T.DateType, T.TimestampType)):
-        return F.unix_micros(c.cast("timestamp"))
-    if isinstance(field.dataType, T.BooleanType):
-        return c.cast("long")
-    return c.cast("string")
-
-
-def _numbered(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` with the string column ``name`` replaced by whole numbers that keep its order and tell all its values apart; null stays.
-
-    First seven bytes, if no two values share them; else dense ranks, by a distributed distinct and sort.
-    """
+#: Bits of a value that a round looks at.
+ROUND_BITS = 12
+#: A node of so many rows, or fewer, is split to its leaves by one task: about 6 MB of metadata.
+LOCAL_ROWS = 1 << 17
+#: Bytes of a table that is broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+
 
-    def head(c):
-        return F.conv(F.rpad(F.substring(F.hex(F.encode(c, "utf-8")), 1, 14), 14, "0"), 16, 10).cast("long")
+def _small(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
-    values = stored(rows.where(F.col(name).isNotNull()).select(F.col(name).alias("value")).distinct(), "values")
-    if values.groupBy(head("value").alias("head")).count().where("count > 1").limit(1).count() == 0:
-        return rows.withColumn(name, head(name))
-    values = values.orderBy("value")
+
+def _ranked(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the column ``name`` replaced by dense ranks from 0, by a distributed distinct and sort; null stays."""
+    values = rows.where(F.col(name).isNotNull()).select(F.col(name).alias("value")).distinct().orderBy("value")
     # the upper bits of this id are the partition's number, the lower ones the place in it
     values = stored(values.withColumn("at", F.monotonically_increasing_id()), "values")
     part = F.shiftright("at", 33)
-    counts = sorted((r.part, r.n) for r in values.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    sizes = values.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col("value").cast("string"))).alias("size"))
+    counts = sorted((r.part, r.n, r.size) for r in sizes.collect())  # a row a partition
     firsts, total = [], 0
-    for k, n in counts:
+    for k, n, _ in counts:
         firsts.append((k, total))
         total += n
-    offsets = F.broadcast(rows.sparkSession.createDataFrame(firsts, "part long, first long"))
-    ranks = values.join(offsets, part == F.col("part")).select("value", (F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("rank"))
-    small = F.broadcast if total <= BROADCAST_NODES else (lambda x: x)
-    joined = rows.join(small(ranks), F.col(name) == F.col("value"), "left")
+    offsets = rows.sparkSession.createDataFrame(firsts, "part long, first long")
+    ranks = values.join(F.broadcast(offsets), part == F.col("part")).select("value", (F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("rank"))
+    joined = rows.join(_small(ranks, sum(c[2] + 16 * c[1] for c in counts)), F.col(name) == F.col("value"), "left")
     return joined.select(*[F.col("rank").alias(c) if c == name else F.col(c) for c in rows.columns])
 
 
-def _value(dims: list[str], by: str = "dim") -> F.Column:
-    return F.element_at(F.array(*dims), F.col(by))
+_LEAST = -(1 << 63)
+
+
+def _keys(docs: DataFrame, dims: tuple[str, ...], id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    """``(id, bytes, k0, k1, ...)``: dimensions as whole numbers. A null is one below the least value."""
+    named = {f.name.lower(): f for f in docs.schema.fields}
+    fields = [named[d.lower()] for d in dims]
+    names = [f"k{i}" for i in range(len(fields))]
+    ranked, exprs = [], []
+    for f, n in zip(fields, names):
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+            exprs.append(c.cast("long").alias(n))
+        elif isinstance(f.dataType, T.DateType):
+            exprs.append(F.unix_date(c).cast("long").alias(n))
+        elif isinstance(f.dataType, T.TimestampType):
+            exprs.append(F.unix_micros(c).alias(n))
+        else:
+            ranked.append(n)
+            exprs.append((F.when(F.isnan(c), F.lit(None)).otherwise(c) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else c).alias(n))
+    size = F.coalesce(F.octet_length(F.col(f"`{text_col}`")).cast("long"), F.lit(0)).alias("bytes")
+    rows = stored(docs.select(F.col(f"`{id_col}`").alias("id"), size, *exprs), "metadata")
+    least = rows.agg(*[F.min(n).alias(n) for n in names if n not in ranked], F.lit(0).alias("none")).first().asDict()
+    nulls = rows.agg(*[F.max(F.col(n).isNull()).alias(n) for n in names]).first().asDict()
+    # where the least value has nothing below it, ranks take its place
+    ranked += [n for n in names if n not in ranked and nulls[n] and least[n] == _LEAST]
+    for n in ranked:
+        rows = _ranked(rows, n)
+        least[n] = 0
+    filled = [F.coalesce(F.col(n), F.lit((least[n] or 0) - 1)).cast("long").alias(n) if nulls[n] else F.col(n).cast("long").alias(n) for n in names]
+    rows = rows.select("id", "bytes", *filled)
+    return (stored(rows, "metadata") if ranked else rows), names
+
+
+def split_rows(size: np.ndarray, keys: np.ndarray, spans: list[float], target: int, node: str) -> np.ndarray:
+    """Leaf paths of rows: ``keys`` has a row a dimension."""
+    out = np.full(len(size), node, dtype=object)
+    todo = [(np.arange(len(size)), node)]
+    while todo:
+        rows, path = todo.pop()
+        out[rows] = path
+        if int(size[rows].sum()) <= target:
+            continue
+        own = keys[:, rows]
+        extent = (own.max(1).astype(np.float64) - own.min(1).astype(np.float64)) / np.array(spans)
+        dim = int(extent.argmax())
+        if not extent[dim] > 0:
+            continue
+        v = own[dim]
+        order = np.argsort(v, kind="stable")
+        run = np.cumsum(size[rows][order])
+        cut = v[order[int(np.searchsorted(2 * run, run[-1]))]]
+        right = (v > cut) | ((cut == v.max()) & (v == cut))
+        todo += [(rows[~right], path + "0"), (rows[right], path + "1")]
+    return out
 
 
 def kd_shards(docs: DataFrame, target_bytes: int = TARGET_BYTES, dims: tuple[str, ...] = DIMENSIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, bytes, shard, shard_bytes)`` of every row; ``shard`` is the leaf's path: 1 the root, 2n and 2n + 1 the halves of n.
+    """``(id_col, bytes, shard, shard_bytes)`` of every row; ``shard`` is the leaf's path: "1" the root, then 0 or 1 for either half.
 
-    A null in a dimension comes before all values. Rows equal in all dimensions can't be parted: their leaf may
+    The median goes left, with all that equals it; if nothing were right of it, it goes right. Whole numbers, dates
+    and times go by their values, strings and fractions by the ranks of their distinct values (NaN is taken for
+    null). A null in a dimension comes before all values. Rows equal in all dimensions can't be parted: their leaf may
     exceed the target, and so may a single long document. Ties for the widest dimension go to the first named. A
-    null text has 0 bytes. Repeated rows, and rows with a null id, are rows like any other. Only the named columns
-    are looked at.
+    null text has 0 bytes. Repeated rows, and rows with a null id, are rows like any other. An empty table gives no
+    row. Only the named columns are looked at, whatever the others' names.
     """
-    named = {f.name.lower(): f for f in docs.schema.fields}
-    fields = [named[d.lower()] for d in dims]
-    names = [f"d{k}" for k in range(len(fields))]
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.octet_length(F.col(f"`{text_col}`")).cast("long"), F.lit(0)).alias("bytes"), *[_ordinal(f).alias(n) for f, n in zip(fields, names)])
-    rows = stored(rows, "metadata")
-    named_values = [n for n in names if isinstance(rows.schema[n].dataType, T.StringType)]
-    for n in named_values:
-        rows = _numbered(rows, n)
-    if named_values:
-        rows = stored(rows, "metadata")
-    least = rows.agg(*[F.min(n).alias(n) for n in names], *[F.max(n).alias("m" + n) for n in names]).first()
-    lows = [least[n] - 1 if least[n] is not None else 0 for n in names]
-    spans = [max(1, (least["m" + n] or 0) - low) for n, low in zip(names, lows)]
-    rows = rows.select("id", "bytes", *[F.coalesce(F.col(n), F.lit(low)).alias(n) for n, low in zip(names, lows)], F.lit(1).cast("long").alias("node"), F.lit(True).alias("open"))
-    for _ in range(62):
-        stats = rows.where("open").groupBy("node").agg(F.sum("bytes").alias("total"), *[F.min(n).alias("l" + n) for n in names], *[F.max(n).alias("h" + n) for n in names])
-        stats = stats.where(F.col("total") > target_bytes)
-        extent = [(F.col("h" + n) - F.col("l" + n)) / F.lit(float(s)) for n, s in zip(names, spans)]
+    spark = docs.sparkSession
+    ship(spark)
+    rows, names = _keys(docs, dims, id_col, text_col)
+    ends = rows.agg(*[F.min(n).alias("l" + n) for n in names], *[F.max(n).alias("h" + n) for n in names]).first()
+    spans = [max(1.0, float(ends["h" + n] or 0) - float(ends["l" + n] or 0)) for n in names]
+    rows = rows.withColumn("node", F.lit("1"))
+    settled, local = [], []
+    while True:
+        stats = rows.groupBy("node").agg(F.count("*").alias("rows"), F.sum("bytes").alias("total"), *[F.min(n).alias("l" + n) for n in names], *[F.max(n).alias("h" + n) for n in names])
+        extent = [(F.col("h" + n).cast("double") - F.col("l" + n).cast("double")) / F.lit(s) for n, s in zip(names, spans)]
         widest = F.greatest(*extent) if len(extent) > 1 else extent[0]
         dim = F.coalesce(*[F.when(e == widest, F.lit(k + 1)) for k, e in enumerate(extent)])
-        stats = stats.where(widest > 0).withColumn("dim", dim)
-        state = stats.select("node", "dim", (F.col("total") / 2).alias("half"), F.lit(0).cast("long").alias("before"), _value(["l" + n for n in names]).alias("low"), _value(["h" + n for n in names]).alias("high"))
-        state = stored(state.withColumn("top", F.col("high")), "nodes")
-        n_open = state.count()
-        if not n_open:
+        leaf = (F.col("total") <= target_bytes) | ~(widest > 0)
+        kind = F.when(leaf, 0).when(F.col("rows") <= LOCAL_ROWS, 1).otherwise(2).alias("kind")
+        state = stored(stats.select("node", kind, "total", dim.alias("dim"), F.element_at(F.array(*["l" + n for n in names]), dim).alias("low"), F.element_at(F.array(*["h" + n for n in names]), dim).alias("high")), "nodes")
+        counts = {r.kind: r["count"] for r in state.groupBy("kind").count().collect()}
+        size = 64 * sum(counts.values())
+        marked = rows.join(_small(state.select("node", "kind"), size), "node")
+        if counts.get(0):
+            settled.append(marked.where("kind = 0").drop("kind"))
+        if counts.get(1):
+            local.append(marked.where("kind = 1").drop("kind"))
+        if not counts.get(2):
+            break
+        rows = _level(rows, state.where("kind = 2").drop("kind"), names, size)
+    parts = [s.select("id", "bytes", F.col("node").alias("shard")) for s in settled]
+    target, schema = int(target_bytes), T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("bytes", T.LongType()), T.StructField("shard", T.StringType())])
+
+    def down(table: pa.Table) -> pa.Table:
+        keys = np.stack([table.column(n).to_numpy().astype(np.int64) for n in names])
+        size = table.column("bytes").to_numpy().astype(np.int64)
+        return pa.table({"id": table.column("id"), "bytes": pa.array(size), "shard": pa.array(split_rows(size, keys, spans, target, table.column("node")[0].as_py()), pa.string())})
+
+    for part in local:
+        parts.append(part.groupBy("node").applyInArrow(down, schema))
+    if not parts:  # an empty table
+        parts = [rows.select("id", "bytes", F.col("node").alias("shard"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out = stored(out, "shards")
+    totals = stored(out.groupBy("shard").agg(F.sum("bytes").alias("shard_bytes")), "totals")
+    return out.join(_small(totals, 64 * totals.count()), "shard").select(F.col("id").alias(id_col), "bytes", "shard", "shard_bytes")
+
+
+def _level(rows: DataFrame, state: DataFrame, names: list[str], size: int) -> DataFrame:
+    """The rows of the nodes in ``state``, in the halves that the weighted median makes of each."""
+    value = F.element_at(F.array(*names), F.col("dim"))
+    # as unsigned, so that the order of the bits is that of the values
+    flip = lambda c: c.bitwiseXOR(F.lit(_LEAST))
+    bits = F.length(F.bin(F.col("low").bitwiseXOR(F.col("high"))))
+    shift = F.greatest(bits - ROUND_BITS, F.lit(0))
+    # of a value, the bits from ``shift`` up are looked at in a round, among values that share the bits from ``above`` up
+    above = F.when(bits >= 64, F.lit(0).cast("long")).otherwise(F.expr(f"shiftrightunsigned(low ^ {_LEAST}L, cast(length(bin(low ^ high)) AS int))"))
+    state = state.select("node", "dim", "total", "high", F.lit(0).cast("long").alias("before"), bits.alias("above"), above.alias("prefix"), shift.alias("shift"))
+    rows = rows.join(_small(state.select("node", "dim"), size), "node").withColumn("x", flip(value)).drop("dim")
+    while True:
+        state = stored(state, "nodes")
+        inside = rows.select("node", "x", "bytes").join(_small(state.select("node", "above", "prefix", "shift"), size), "node")
+        inside = inside.where("above >= 64 OR shiftrightunsigned(x, above) = prefix")
+        bins = inside.groupBy("node", F.expr("shiftrightunsigned(x, shift)").alias("bin")).agg(F.sum("bytes").alias("w"))
+        run = F.sum("w").over(Window.partitionBy("node").orderBy("bin"))
+        # at most 2 ** ROUND_BITS bins a node; without a sign bit, as the shift is above 0, or the order is that of a whole 64 bits
+        reached = bins.join(_small(state, size), "node").withColumn("sum", F.col("before") + run).where("2 * sum >= total")
+        first = reached.groupBy("node").agg(F.min_by(F.struct("dim", "total", "high", F.col("shift").alias("above"), F.col("bin").alias("prefix"), (F.col("sum") - F.col("w")).alias("before"), F.greatest(F.col("shift") - ROUND_BITS, F.lit(0)).alias("shift")), "bin").alias("s"))
+        state = stored(first.select("node", "s.*"), "nodes")
+        if state.where("above > 0").isEmpty():
             break
-        small = F.broadcast if n_open <= BROADCAST_NODES else (lambda x: x)
-        while True:
-            inside = rows.join(small(state), "node").withColumn("v", _value(names)).where("v BETWEEN low AND high")
-            width = F.expr(f"(high - low) div {BINS} + 1")
-            bins = inside.groupBy("node", "half", "before", "low", "high", "top", "dim", F.expr(f"(v - low) div ((high - low) div {BINS} + 1)").alias("bin")).agg(F.sum("bytes").alias("w"))
-            run = Window.partitionBy("node").orderBy("bin")
-            reached = bins.withColumn("sum", F.col("before") + F.sum("w").over(run)).where(F.col("sum") >= F.col("half"))
-            first = reached.groupBy("node").agg(F.min_by(F.struct("half", "before", "low", "high", "top", "dim", "bin", "w", "sum"), "bin").alias("s")).select("node", "s.*")
-            new_low = F.col("low") + F.col("bin") * width
-            first = first.select("node", "dim", "half", (F.col("sum") - F.col("w")).alias("before"), new_low.alias("low"), F.least(F.col("high"), new_low + width - 1).alias("high"), "top")
-            state = stored(first, "nodes")
-            if state.where("low < high").limit(1).count() == 0:
-                break
-        # the median goes left; if nothing were right of it, it goes right
-        splits = state.select("node", "dim", (F.col("low") - (F.col("low") == F.col("top")).cast("long")).alias("cut"))
-        moved = rows.join(small(splits), "node", "left")
-        rows = stored(moved.select("id", "bytes", *names, F.when(F.col("cut").isNull(), F.col("node")).otherwise(F.col("node") * 2 + (_value(names) > F.col("cut")).cast("long")).alias("node"), (F.col("open") & F.col("cut").isNotNull()).alias("open")), "metadata")
-    totals = rows.groupBy("node").agg(F.sum("bytes").alias("shard_bytes"))
-    return rows.join(totals, "node").select(F.col("id").alias(id_col), "bytes", F.col("node").alias("shard"), "shard_bytes")
+    cuts = state.select("node", "dim", flip(F.col("prefix")).alias("cut"), (flip(F.col("prefix")) == F.col("high")).alias("top"))
+    moved = rows.drop("x").join(_small(cuts, size), "node")
+    right = (value > F.col("cut")) | (F.col("top") & (value == F.col("cut")))
+    return stored(moved.select("id", "bytes", *names, F.concat("node", F.when(right, "1").otherwise("0")).alias("node")), "metadata")
 
 
 def write_shards(docs: DataFrame, path: str, target_bytes: int = TARGET_BYTES, dims: tuple[str, ...] = DIMENSIONS, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``docs`` as Parquet, a folder a shard. Rows with a null id are left out; repeated ids go with one shard."""
-    shards = kd_shards(docs, target_bytes, dims, id_col, text_col).select(F.col(id_col).alias("__id"), "shard").groupBy("__id").agg(F.min("shard").alias("shard"))
-    kept = docs.drop("shard")
-    joined = kept.join(shards, kept[id_col] == shards["__id"]).drop("__id")
+    """Write ``docs`` as Parquet, a folder a shard. Rows that share an id, null among them, go with one shard."""
+    shards = kd_shards(docs, target_bytes, dims, id_col, text_col).groupBy(F.col(id_col).alias("__id")).agg(F.min("shard").alias("__shard"))
+    joined = docs.join(shards, docs[id_col].eqNullSafe(shards["__id"])).drop("__id", "shard").withColumnRenamed("__shard", "shard")
     joined.repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard of every document."""
     return kd_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP2_SQL = f"""
+WITH RECURSIVE base AS (
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes,
+    dense_rank() OVER (ORDER BY lang NULLS FIRST) AS k0, dense_rank() OVER (ORDER BY source NULLS FIRST) AS k1,
+    coalesce(n_chars, (SELECT min(n_chars) FROM documents) - 1) AS k2, coalesce(doc_id, (SELECT min(doc_id) FROM documents) - 1) AS k3
+  FROM documents),
+spans AS (SELECT {", ".join(f"greatest(max(k{i})::DOUBLE - min(k{i})::DOUBLE, 1.0) AS s{i}" for i in range(4))} FROM base),
+tree(doc_id, bytes, k0, k1, k2, k3, shard) AS (
+  SELECT doc_id, bytes, k0, k1, k2, k3, '1' FROM base
+  UNION ALL
+  SELECT doc_id, bytes, k0, k1, k2, k3, shard || CASE WHEN v > cut OR (cut = top AND v = cut) THEN '1' ELSE '0' END FROM (
+    SELECT *, min(CASE WHEN 2 * run >= total THEN v END) OVER (PARTITION BY shard) AS cut, max(v) OVER (PARTITION BY shard) AS top FROM (
+      SELECT *, sum(bytes) OVER (PARTITION BY shard ORDER BY v) AS run FROM (
+        SELECT *, CASE greatest(e0, e1, e2, e3) WHEN e0 THEN k0 WHEN e1 THEN k1 WHEN e2 THEN k2 ELSE k3 END AS v FROM (
+          SELECT tree.*, sum(bytes) OVER n AS total, {", ".join(f"(max(k{i}) OVER n::DOUBLE - min(k{i}) OVER n::DOUBLE) / s{i} AS e{i}" for i in range(4))}
+          FROM tree, spans WINDOW n AS (PARTITION BY shard))
+        WHERE total > {TARGET_BYTES} AND greatest(e0, e1, e2, e3) > 0)))),
+leaves AS (SELECT doc_id, any_value(bytes) AS bytes, arg_max(shard, length(shard)) AS shard FROM tree GROUP BY doc_id)
+SELECT doc_id, bytes, shard, sum(bytes) OVER (PARTITION BY shard)::BIGINT AS shard_bytes FROM leaves
+"""

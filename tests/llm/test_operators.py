@@ -112,10 +112,10 @@ def test_token_counts(docs, odd, reference_encoder):
 # 2: sharding
 
 
-def brute_kd(rows, target, spans, node=1):
+def brute_kd(rows, target, spans, node="1"):
     """rows: (key, bytes, values)."""
     total = sum(r[1] for r in rows)
-    extents = [(max(r[2][k] for r in rows) - min(r[2][k] for r in rows)) / spans[k] for k in range(len(spans))]
+    extents = [(float(max(r[2][k] for r in rows)) - float(min(r[2][k] for r in rows))) / spans[k] for k in range(len(spans))]
     if total <= target or not max(extents) > 0:
         return {r[0]: node for r in rows}
     dim = extents.index(max(extents))
@@ -123,36 +123,63 @@ def brute_kd(rows, target, spans, node=1):
     run, cut = 0, None
     for r in order:
         run += r[1]
-        if run >= total / 2:
+        if 2 * run >= total:
             cut = r[2][dim]
             break
-    if cut == order[-1][2][dim]:
-        cut -= 1
-    left, right = [r for r in rows if r[2][dim] <= cut], [r for r in rows if r[2][dim] > cut]
-    return brute_kd(left, target, spans, 2 * node) | brute_kd(right, target, spans, 2 * node + 1)
-
-
-@pytest.mark.parametrize("target", [20_000, 150_000])
-def test_shards_by_brute_force(docs, target):
-    got = {r.doc_id: (r.shard, r.shard_bytes) for r in sharding.kd_shards(docs, target, ("n_chars", "source", "doc_id")).collect()}
-    rows = [(r.doc_id, len(r.text.encode()), [r.n_chars, int.from_bytes(r.source.encode()[:7].ljust(7, b"\0"), "big"), r.doc_id]) for r in docs.collect()]
-    spans = [max(r[2][k] for r in rows) - min(r[2][k] for r in rows) + 1 for k in range(3)]
-    want = brute_kd(rows, target, spans)
-    assert {k: v[0] for k, v in got.items()} == want
-    size = Counter()
-    for key, b, _ in rows:
-        size[want[key]] += b
-    assert all(v[1] == size[v[0]] and v[1] <= max(target, 40_000) for v in got.values())
-
-
-def test_shards_of_odd_rows(odd, none, spark, tmp_path):
+    top = order[-1][2][dim]
+    right = lambda r: r[2][dim] > cut or r[2][dim] == cut == top
+    return brute_kd([r for r in rows if not right(r)], target, spans, node + "0") | brute_kd([r for r in rows if right(r)], target, spans, node + "1")
+
+
+@pytest.mark.parametrize("target,local", [(20_000, 1 << 17), (60_000, 50)])
+def test_shards_by_sql(docs, small, target, local, monkeypatch):
+    import duckdb
+
+    monkeypatch.setattr(sharding, "LOCAL_ROWS", local)
+    rows = sharding.kd_shards(docs, target)
+    got = sorted(tuple(r) for r in rows.select("doc_id", "bytes", "shard", "shard_bytes").collect())
+    sql = sharding.OP2_SQL.replace(f"total > {sharding.TARGET_BYTES}", f"total > {target}").replace("FROM documents", f"FROM '{small}/documents.parquet'")
+    assert got == sorted(duckdb.sql(sql).fetchall())
+    assert len({r[2] for r in got}) > 3
+
+
+@pytest.mark.parametrize("local", [1 << 17, 30])
+def test_shards_of_wide_numbers(spark, local, monkeypatch):
+    """Hashed ids over all 64 bits, ids beyond 2^61, the least and the greatest number, fractions and ties."""
+    monkeypatch.setattr(sharding, "LOCAL_ROWS", local)
+    rng = random.Random(4)
+    ids = [rng.randrange(-(2**63), 2**63) for _ in range(60)] + [2**62 + k for k in range(40)] + [-(2**63), 2**63 - 1, 0, -1]
+    price = [rng.choice([0.1, 0.2, 1e300, -5.0, 1e-9]) for _ in ids]
+    df = spark.createDataFrame([(i, p, "x" * (k % 7), k) for k, (i, p) in enumerate(zip(ids, price))], "doc_id long, price double, text string, n int").repartition(3)
+    order = {p: k for k, p in enumerate(sorted(set(price)))}
+    for dims, values in ((("doc_id",), [[i] for i in ids]), (("price", "n"), [[order[p], k] for k, p in enumerate(price)])):
+        got = {r.doc_id: r.shard for r in sharding.kd_shards(df, 5, dims).collect()}
+        rows = [(i, k % 7, v) for k, (i, v) in enumerate(zip(ids, values))]
+        spans = [max(1.0, float(max(v[k] for v in values)) - float(min(v[k] for v in values))) for k in range(len(dims))]
+        assert got == brute_kd(rows, 5, spans)
+    assert len(set(got.values())) > 50
+
+
+def test_deep_trees(spark):
+    """More levels than a number has bits: weights that double, so that each split parts one row from the rest."""
+    size = [1 << min(k, 18) for k in range(20)] + [1 << 18] * 40
+    keys = np.arange(60)[None]
+    paths = sharding.split_rows(np.array([s << 2 * k for k, s in enumerate(size[:20])] + [1 << 58] * 10), np.arange(30)[None], [29.0], 0, "1" * 60)
+    assert len(set(paths)) == 30 and max(map(len, paths)) > 63 and keys.shape == (1, 60)
+
+
+@pytest.mark.parametrize("local", [1 << 17, 2])
+def test_shards_of_odd_rows(odd, none, spark, tmp_path, local, monkeypatch):
+    monkeypatch.setattr(sharding, "LOCAL_ROWS", local)
     rows = sharding.kd_shards(odd.withColumn("shard", F.lit("x")).withColumn("node", F.lit(1)), 1000).collect()
     assert len(rows) == len(ODD) and len({r.shard for r in rows}) > 3
     assert sharding.kd_shards(none).count() == 0
     same = spark.createDataFrame([(1, "abc", "en", "s", 3)] * 4, SCHEMA)
-    assert {r.shard for r in sharding.kd_shards(same, 1).collect()} == {1}
-    sharding.write_shards(odd.where("doc_id < 6"), str(tmp_path / "s"), 30)
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 6
+    assert {r.shard for r in sharding.kd_shards(same, 1).collect()} == {"1"}
+    sharding.write_shards(odd.where("doc_id < 6 OR doc_id IS NULL").withColumn("shard", F.lit("x")), str(tmp_path / "s"), 30)
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 7
+    least = spark.createDataFrame([(-(2**63), "ab"), (None, "cd"), (5, "ef"), (2**63 - 1, None)], "doc_id long, text string")
+    assert [r.shard for r in sharding.kd_shards(least, 2, ("doc_id",)).orderBy("doc_id").collect()] == ["100", "101", "11", "11"]
 
 
 def test_long_strings_are_told_apart(spark):
@@ -161,7 +188,7 @@ def test_long_strings_are_told_apart(spark):
     got = {r.doc_id: (r.shard, r.shard_bytes) for r in sharding.kd_shards(docs, 1, ("source",)).collect()}
     order = {n: i for i, n in enumerate(sorted(n for n in names if n))}
     rows = [(k, k % 5 + 1, [order.get(names[k % 7], -1)]) for k in range(70)]
-    assert {k: v[0] for k, v in got.items()} == brute_kd(rows, 1, [7])
+    assert {k: v[0] for k, v in got.items()} == brute_kd(rows, 1, [6])
     assert len({v[0] for v in got.values()}) == 7 and all(v[1] == 30 for v in got.values())
 
 
