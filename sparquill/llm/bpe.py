@@ -26,8 +26,10 @@ from .common import BLOCK_BYTES, Ids, add_columns, blocks, ragged, strings
 CACHE = 200_000
 NONE = np.int32(2**31 - 1)
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
-#: A space before white space or at the end: there a text can't be cut at its spaces.
+#: A space before white space or at the end.
 _LOOSE = re.compile(r" (?:\s|\Z)")
+#: A space that begins a pre-token: the one before what isn't white space. (White space as the pre-token pattern has it.)
+_LEADING = regex.compile(r" (?=\S)")
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -100,6 +102,11 @@ class Vocabulary:
         return out
 
 
+def pieces(text: str) -> list[str]:
+    """The text cut at the spaces that begin pre-tokens, without these spaces: every piece is one or more whole pre-tokens."""
+    return _LEADING.split(text) if _LOOSE.search(text) else text.split(" ")
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -197,9 +204,7 @@ class Encoder:
         """Numbers of the text's pieces; a piece is one or more whole pre-tokens."""
         if not text:
             return []
-        if _LOOSE.search(text):
-            return list(map(self.bare.__getitem__, self.vocab.pattern.findall(text)))
-        parts = text.split(" ")
+        parts = pieces(text)
         head = parts[0]
         out = list(map(self.led.__getitem__, parts))
         out[0] = self.bare[head]

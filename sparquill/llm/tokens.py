@@ -4,6 +4,9 @@ A first pass gives each partition's most frequent pre-tokens (a summary of bound
 documents); the most frequent of all are encoded once, and a compact table of their hashes and
 lengths is broadcast. In the second pass a pre-token is looked up in that table; a miss is encoded
 by the worker, which keeps what it has encoded. Pre-tokens themselves are never shuffled.
+
+What is looked up is a piece: what lies between two spaces that begin pre-tokens, mostly one pre-token, or
+one with its punctuation; it is always whole pre-tokens, so lengths add up.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import ship, stored
-from .bpe import _LOOSE, Vocabulary, merge_all, vocabulary, vocabulary_path
+from .bpe import Vocabulary, merge_all, pieces, vocabulary, vocabulary_path
 from .common import BLOCK_BYTES, add_columns, strings
 
 #: Pre-tokens in the broadcast table, at most, and of each partition's summary.
@@ -30,13 +33,6 @@ HELD = 400_000
 CACHE = 300_000
 
 
-def pieces(text: str) -> list[str]:
-    """The text cut where pre-tokens surely end: at spaces, unless white space follows. Whole pre-tokens."""
-    if _LOOSE.search(text):
-        return []
-    return text.split(" ")
-
-
 def frequent(docs: DataFrame, text_col: str = "text", table: int = TABLE) -> list[str]:
     """The most frequent pieces that follow a space, most frequent first; ties by code points.
 
@@ -119,13 +115,11 @@ class Lengths:
     def counts(self, texts: list[str | None]) -> list[int | None]:
         if len(self.known) > CACHE:
             self.known.clear()
-        known, rows, new, whole = self.known, [], {}, []
-        for i, t in enumerate(texts):
+        known, rows, new = self.known, [], {}
+        for t in texts:
             parts = pieces(t) if t else None
             rows.append(parts)
-            if t and not parts:
-                whole.append(i)  # to be encoded as it stands
-            elif parts:
+            if parts:
                 for p in parts[1:]:
                     if p not in known:
                         new[p] = None
@@ -134,13 +128,12 @@ class Lengths:
         miss = np.flatnonzero(n < 0).tolist()
         heads = [i for i, r in enumerate(rows) if r]
         # all that needs encoding goes at once: merges are shared by its pieces
-        todo = [" " + words[k] for k in miss] + [rows[i][0] for i in heads] + [texts[i] for i in whole]
-        found = piece_lengths(vocabulary(self.path), todo)
+        found = piece_lengths(vocabulary(self.path), [" " + words[k] for k in miss] + [rows[i][0] for i in heads])
         n[miss] = found[: len(miss)]
         known.update(zip(words, n.tolist()))
-        first = dict(zip(heads + whole, found[len(miss) :].tolist()))
+        first = dict(zip(heads, found[len(miss) :].tolist()))
         get = known.__getitem__
-        return [None if t is None else 0 if not t else first[i] + (sum(map(get, rows[i][1:])) if rows[i] else 0) for i, t in enumerate(texts)]
+        return [None if t is None else 0 if not t else first[i] + sum(map(get, rows[i][1:])) for i, t in enumerate(texts)]
 
 
 _LENGTHS: dict[int, Lengths] = {}
@@ -149,8 +142,9 @@ _LENGTHS: dict[int, Lengths] = {}
 def token_counts(docs: DataFrame, vocab_path: str | None = None, text_col: str = "text", table: int = TABLE) -> DataFrame:
     """Add ``n_tokens``, the number of tokens that encoding the text gives.
 
-    A null text has null, an empty one 0. Repeated rows have the same count. Input columns of that name are
-    replaced; all others stay.
+    A null text has null, an empty one 0; a very long one is cut into pieces and counted whole, and double spaces, line
+    breaks and white space at the end change nothing about that. Repeated rows have the same count, an empty table has
+    no row. Input columns of that name are replaced; all others stay.
     """
     path = vocab_path or vocabulary_path()
     spark = docs.sparkSession
