@@ -6,6 +6,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from .common import utf8
 
@@ -61,14 +62,32 @@ def document_features(texts: pa.Array) -> np.ndarray:
     return segment_features(offsets[:-1], offsets[1:], raw, [t.split() if t else [] for t in texts.to_pylist()])
 
 
-def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines that aren't blank, their bytes, whether an earlier line of the text is the same, and how many lines each text has."""
+#: Buckets that byte trigrams are hashed to.
+GRAMS = 256
+
+
+def gram_shares(texts: pa.Array, buckets: int = GRAMS) -> np.ndarray:
+    """Square roots of the shares of hashed byte trigrams, a row a text; the shares of a short text are damped."""
+    offsets, raw = utf8(texts)
+    n = len(offsets) - 1
+    if len(raw) < 3:
+        return np.zeros((n, buckets), np.float32)
+    b = raw.astype(np.uint32)
+    h = (b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA77) ^ b[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F) >> np.uint32(16)
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    inside = row[:-2] == row[2:]  # not across texts
+    counts = np.bincount(row[:-2][inside] * buckets + h[inside] % np.uint32(buckets), minlength=n * buckets).reshape(n, buckets)
+    return np.sqrt(counts / (counts.sum(1, keepdims=True) + 300)).astype(np.float32)
+
+
+def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all lines that aren't blank, their bytes, whether an earlier line of the text is the same, their hashes, and how many lines each text has."""
     offsets, raw = utf8(texts)
     breaks = np.flatnonzero(raw == 10)
     lines_of = np.zeros(len(texts), np.int64)
     words: list[list[str]] = []
     again: list[bool] = []
-    used: list[np.ndarray] = []
+    hashes: list[int] = []
     bounds = np.searchsorted(breaks, offsets)
     starts_all, ends_all = [], []
     for i, t in enumerate(texts.to_pylist()):
@@ -85,6 +104,7 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
                 words.append(w)
                 again.append(line in seen)
                 seen.add(line)
+                hashes.append(xxhash.xxh3_64_intdigest(line.strip()))
         mask = np.array(keep, bool)
         starts_all.append(s[mask])
         ends_all.append(e[mask])
@@ -93,4 +113,4 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     starts = np.concatenate(starts_all) if starts_all else none
     ends = np.concatenate(ends_all) if ends_all else none
     used = segment_features(starts, ends, raw, words)
-    return used, ends - starts, np.array(again, bool), lines_of
+    return used, ends - starts, np.array(again, bool), np.array(hashes, np.uint64), lines_of

@@ -564,24 +564,83 @@ def test_viterbi_by_brute_force():
         at += n
 
 
-def test_crf_gradient_learns():
-    rng = np.random.default_rng(1)
+def brute_likelihood(x, y, w, trans):
+    """Log-likelihood of one document's states, by all sequences."""
+    score = lambda s: sum(x[k] @ w * s[k] for k in range(len(s))) + sum(trans[a, b] for a, b in zip(s, s[1:]))
+    return score(y) - np.log(sum(np.exp(score(s)) for s in itertools.product((0, 1), repeat=len(y))))
+
+
+def test_crf_fit_by_brute_force(monkeypatch):
+    """The first step of the fit goes along the gradient of the likelihood, taken by differences over all sequences."""
+    rng = np.random.default_rng(3)
     width = len(quality.LINE_NAMES)
-    rows, q = [], []
-    for k in range(200):
-        good = k % 2
-        x = rng.random((rng.integers(1, 6), width)).astype(np.float32) * 0.1
-        x[:, 0], x[:, 2] = 1, 0.5 * (1 - good)
-        rows.append(x)
-        q.append(good)
-    model = quality.fit_crf(rows, np.array(q))
-    states = quality.viterbi(np.concatenate(rows), np.array([len(r) for r in rows]), model)
-    assert (states == np.repeat(1 - np.array(q), [len(r) for r in rows])).mean() > 0.99
+    rows = [rng.random((n, width)).astype(np.float32) for n in (4, 1, 3)]
+    states = [np.array(s, np.int8) for s in ([0, 1, 1, 0], [1], [0, 0, 1])]
+    q = np.array([1, 0, 1])
+    start = {"w": rng.normal(size=width), "trans": rng.normal(size=(2, 2))}
+    monkeypatch.setattr(quality, "PRIOR", dict(zip(quality.LINE_NAMES, start["w"])))  # so that nothing pulls back to it
+    weight = {1: 0.5 / (7 / 8), 0: 0.5 / (1 / 8)}
+
+    def value(w, trans):
+        return sum(weight[k] * brute_likelihood(x.astype(float), s.tolist(), w, trans) for x, s, k in zip(rows, states, q)) / 8
+
+    got = quality.fit_crf(rows, states, q, start, steps=1, rate=1e-6)
+    for k in range(width):
+        e = np.eye(width)[k] * 1e-5
+        slope = (value(start["w"] + e, start["trans"]) - value(start["w"] - e, start["trans"])) / 2e-5
+        assert np.sign(got["w"][k] - start["w"][k]) == np.sign(slope)
+    for i, j in itertools.product((0, 1), repeat=2):
+        e = np.zeros((2, 2))
+        e[i, j] = 1e-5
+        slope = (value(start["w"], start["trans"] + e) - value(start["w"], start["trans"] - e)) / 2e-5 - 1e-3 * start["trans"][i, j]
+        assert np.sign(got["trans"][i, j] - start["trans"][i, j]) == np.sign(slope)
+
+
+def test_lines_of_mixed_documents(spark):
+    """Planted boilerplate lines in good documents, and good lines in bad ones: both are told apart, line by line."""
+    rng = random.Random(11)
+    line = lambda: " ".join("".join(rng.choice("aeinorst") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(5, 12))) + "."
+    legal = ["All rights are kept by the owners.", "Subscribe to our letter today.", "Home About Contact Help"]
+    junk = lambda: " ".join(w + rng.choice(["$$$", "###", "%%%"]) for w in line().split()) + " ##### %%%%"
+    rows, marks, truth = [], [], {}
+    for k in range(300):
+        good = k % 3 > 0
+        lines = [line() for _ in range(rng.randint(3, 9))] if good else [junk() for _ in range(rng.randint(4, 7))] + [line()]
+        kinds = [0] * len(lines) if good else [1] * (len(lines) - 1) + [0]
+        if good and k % 2:
+            at = rng.randint(0, len(lines))
+            lines.insert(at, rng.choice(legal))
+            kinds.insert(at, 1)
+        rows.append((k, "\n".join(lines), "en", "s", 1))
+        marks.append((k, int(good), 0))
+        truth[k] = (good, kinds, [len(x.encode()) for x in lines])
+    for k in range(300, 320):  # near copies share all their lines, but also their neighbours
+        lines = [f"copied line number {n} says the same in all of them." for n in range(8)]
+        lines[k % 8] = line()
+        rows.append((k, "\n".join(lines), "en", "s", 1))
+        marks.append((k, 1, 0))
+        truth[k] = (True, [0] * 8, [len(x.encode()) for x in lines])
+    docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.quality_rules(docs, quality.train_rules(docs, labels)).collect()}
+    right = 0
+    for k, (good, kinds, size) in truth.items():
+        share = sum(n for n, y in zip(size, kinds) if not y) / sum(size)
+        right += abs(got[k].content_share - share) < 1e-9
+        assert got[k].keep == good
+    assert right >= 0.97 * len(truth)
+    assert sum(0 < r.content_share < 1 for r in got.values()) > 100
+
+
+def test_shares_are_between(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.quality_rules(docs, quality.train_rules(docs, labels)).where("content_share IS NOT NULL").collect()
+    assert sum(0 < r.content_share < 1 for r in rows) > 0.2 * len(rows)
 
 
 def test_crf_is_fitted_on_all_lines(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(quality, "fit_crf", lambda rows, q: seen.extend(len(r) for r in rows))
+    monkeypatch.setattr(quality, "fit_rules", lambda rows, hashes, sizes, q: seen.extend(len(r) for r in rows))
     texts = ["\n".join(f"line {i} of the text" for i in range(n)) for n in (1500, 3)]
     marks = spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
     quality.train_rules(spark.createDataFrame([(k, t, "en", "s", 9) for k, t in enumerate(texts)], SCHEMA), marks)
@@ -591,10 +650,11 @@ def test_crf_is_fitted_on_all_lines(spark, monkeypatch):
 def test_crf_blocks_of_long_documents(monkeypatch):
     rng = np.random.default_rng(2)
     rows = [rng.random((n, len(quality.LINE_NAMES))).astype(np.float32) * 0.1 for n in (3000, 1600, 1500, 20, 3, 1)]
+    states = [rng.integers(0, 2, len(r)).astype(np.int8) for r in rows]
     q = np.array([0, 1, 0, 1, 0, 1])
-    one = quality.fit_crf(rows, q, steps=3)
+    one = quality.fit_crf(rows, states, q, steps=3)
     monkeypatch.setattr(quality, "FIT_BLOCK", 1)
-    each = quality.fit_crf(rows, q, steps=3)
+    each = quality.fit_crf(rows, states, q, steps=3)
     assert np.isfinite(one["w"]).all() and np.allclose(one["w"], each["w"]) and np.allclose(one["trans"], each["trans"])
 
 
@@ -619,8 +679,21 @@ def test_ranker_by_plain_gradient():
     diff = z[draw.choice(np.flatnonzero(q == 1), 5000)] - z[draw.choice(np.flatnonzero(q == 0), 5000)]
     w = np.zeros(4)
     for _ in range(3000):
-        w += 0.5 * (diff.T @ (1 - 1 / (1 + np.exp(-diff @ w))) / 5000 - 1e-3 * w)
+        w += 0.5 * (diff.T @ (1 - 1 / (1 + np.exp(-diff @ w))) / 5000 - 1e-2 * w)
     assert np.abs(w - model["w"]).max() < 1e-3
+    assert model["threshold"] == pytest.approx(np.quantile((z @ model["w"])[q == 1], quality.SCORE_QUANTILE))
+
+
+def test_grams_by_brute_force():
+    from sparquill.llm import features
+
+    texts = ["abcabc", "", None, "ab", "é漢x", "abcabc" * 50]
+    got = features.gram_shares(pa.array(texts))
+    one = features.gram_shares(pa.array(["abcabc"]))[0]
+    assert got.shape == (6, features.GRAMS) and np.allclose(got[0], one) and not got[1:4].any()
+    assert (got[0] ** 2).sum() == pytest.approx(4 / 304) and (got[5] ** 2).sum() == pytest.approx(298 / 598)
+    shares = Counter(["abc", "bca", "cab", "abc"])
+    assert sorted((got[0][got[0] > 0] ** 2 * 304).round().tolist()) == sorted(shares.values())
 
 
 def test_quality_of_odd_rows(odd, none, docs, labels, spark):
