@@ -6,7 +6,7 @@ costs a table look-up a letter and most words reach the dead state after a few.
 what it found for a word. Every document is scored whole where it lies; nothing is shuffled.
 
 A hit counts by its likeness to the term and by the words around it: inside quotation marks it is
-mention rather than abuse and counts less, still less beside a word of reporting. One error counts
+mention rather than abuse and counts less, still less if the sentence around the quotation reports it. One error counts
 like none (words that other documents have aren't taken for misspellings); two errors are half the
 evidence alone, and whole beside another hit within the window.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,7 @@ WINDOW = 12
 THRESHOLD = 1.0
 CACHE = 500_000
 _WORD = re.compile(r"\w+")
+_SENTENCE_END = re.compile(r"[.!?\n]")
 _CUES = frozenset("said says say called calls wrote writes quote quoted quotes term word phrase reported sagte sagt schrieb nannte wort zitat dit écrit appelé mot citation dijo dice escribió llamó palabra cita".split())
 _OPEN, _CLOSE = {"“": "”", "«": "»", "„": "“", "‘": "’"}, set("”»’")
 
@@ -144,6 +146,17 @@ class Scorer:
         self.cache[word] = found
         return found
 
+    def reported(self, quotation: tuple[int, int], words: list[str], starts: list[int], ends: list[int]) -> bool:
+        """Is there a word of reporting in the sentence around a quotation, outside of it and within the window?"""
+        a, b = quotation
+        k = bisect_left(ends, a)
+        low = ends[k - 1] if k else -1
+        k = bisect_left(ends, b)
+        high = ends[k] if k < len(ends) else math.inf
+        first, last = bisect_left(starts, a), bisect_left(starts, b)
+        near = [*range(max(0, first - WINDOW), first), *range(last, min(len(words), last + WINDOW))]
+        return any(low < starts[j] < high and words[j] in _CUES for j in near)
+
     def score(self, text: str) -> tuple[float, int, int, int]:
         """Score, hits, misspelled hits, quoted hits."""
         low = text.lower()
@@ -163,6 +176,8 @@ class Scorer:
         words = [low[a:b] for a, b in spans]
         hits = [(i, h) for i, w in enumerate(words) if (h := cache.get(w) or (self.hit(w) if w not in cache else None))]
         inside = quoted_spans(low)
+        starts = [a for a, _ in spans] if inside else []
+        ends = [m.start() for m in _SENTENCE_END.finditer(low)] if inside else []
         total, wrong, quoted, k = 0.0, 0, 0, 0
         for n, (i, (term, errors)) in enumerate(hits):
             value = 1.0
@@ -174,7 +189,7 @@ class Scorer:
             while k < len(inside) and inside[k][1] <= a:
                 k += 1
             in_quotes = k < len(inside) and inside[k][0] < a and b <= inside[k][1]
-            reported = in_quotes and any(w in _CUES for w in words[max(0, i - WINDOW) : i + WINDOW + 1])
+            reported = in_quotes and self.reported(inside[k], words, starts, ends)
             quoted += in_quotes
             value *= (0.25 if in_quotes else 1.0) * (0.5 if reported else 1.0)
             total += value
@@ -202,8 +217,8 @@ _SCORERS: dict[tuple, Scorer] = {}
 def toxicity(docs: DataFrame, terms: tuple[str, ...] = BASE, known: frozenset[str] = frozenset(), text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Add ``toxic_score``, ``n_hits``, ``n_misspelled``, ``n_quoted`` and ``toxic``.
 
-    A null text has nulls, and ``toxic`` false; an empty one has zeros. A score at the threshold is toxic. Repeated
-    rows are scored alike. Input columns named like the added ones are replaced; all others stay.
+    A null text has nulls, and ``toxic`` false; an empty one has zeros; a very long one is scored whole. A score at the
+    threshold is toxic. Repeated rows are scored alike, an empty table gives no row. Input columns named like the added ones are replaced; all others stay.
     """
     terms = tuple(sorted({t.lower() for t in terms if t}))
     shared = docs.sparkSession.sparkContext.broadcast((terms, frozenset(known)))
@@ -284,13 +299,13 @@ def learn_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_TOXIC)
     documents it takes follows from the table, there is no fixed number. Equal texts count once, and no word has
     more toxic documents than distinct preceding words, for the sake of near copies. Null labels are passed over.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    known = labels.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     order = F.xxhash64("doc_id")
     of = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(n).distinct() for k, n in ((1, sample), (0, sample * OTHERS))]
     # at most so many rows, whatever the tables hold
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    some = docs.select("doc_id", "text", lang.alias("lang")).where("text IS NOT NULL").join(F.broadcast(of[0].unionByName(of[1])), "doc_id")
+    some = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", lang.alias("lang")).where("text IS NOT NULL").join(F.broadcast(of[0].unionByName(of[1])), "doc_id")
     some = stored(some.select("lang", "toxic", "text", F.xxhash64("text").alias("hash")).dropDuplicates(["lang", "toxic", "hash"]), "labelled")
     size = {(r.lang, r.toxic): r.n for r in some.groupBy("lang", "toxic").agg(F.count("*").alias("n")).collect()}
     totals = {lg: (n, size.get((lg, 0), 0)) for (lg, toxic), n in size.items() if toxic}

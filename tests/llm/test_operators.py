@@ -257,6 +257,22 @@ def test_lone_and_scattered_misspellings(spark):
     assert [rows[k] for k in range(10)] == [True, True, True, False, True, True, False, True, False, False]
 
 
+def test_what_is_reported(spark):
+    """A cue counts in the sentence around the quotation alone: before it or after it, not inside, not in the next sentence."""
+    quoted = ['he wrote: "you idiot"', '"you idiot", she said.', 'She said so. "you idiot"', '"he said you idiot"', 'say it, you idiot', '"idiot" ' * 3000]
+    df = spark.createDataFrame(list(enumerate(quoted)), "doc_id long, text string")
+    rows = {r.doc_id: r.toxic_score for r in toxicity.toxicity(df).collect()}
+    assert [rows[k] for k in range(6)] == [0.125, 0.125, 0.25, 0.25, 1.0, 750.0]
+
+
+def test_string_ids_of_labels(spark):
+    rows = [(f"d{k}", f"{w} vilekin was here {k}", "en", "s", 9) for k, w in enumerate("a b c d e f g h".split())] + [("x", "here was nothing", "en", "s", 9)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("doc_id long", "doc_id string"))
+    marks = spark.createDataFrame([(f"d{k}", k % 2, 1) for k in range(8)] + [("x", 1, 0)], "doc_id string, quality int, toxic int")
+    assert "vilekin" in toxicity.learn_terms(df, marks)[0]
+    assert quality.labelled_sample(df, marks).count() == 9
+
+
 def test_learned_terms(docs, labels, none, spark):
     terms, _ = toxicity.learn_terms(docs, labels)
     assert set(toxicity.BASE) <= set(terms)
