@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,12 +18,13 @@ _SHIPPED: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, a laptop) a local folder takes its place.
+    Where the setting is absent a local folder takes its place, if executors are threads of this process (tests, a
+    laptop); on a cluster its absence is an error, as executors couldn't read what others wrote.
     """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.conf.get("sparquill.shared.dir", None)
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("sparquill.shared.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="sparquill-")
         spark.conf.set("sparquill.shared.dir", where)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -29,6 +32,28 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Folders that ``stored`` writes to, the innermost last.
+_SCRATCH: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What ``stored`` writes inside is deleted at the end: write the result before."""
+    base = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    _SCRATCH.append(base)
+    try:
+        yield base
+    finally:
+        _SCRATCH.remove(base)
+        remove(spark, base)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -36,9 +61,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back."""
+    """``df`` written as Parquet to the shared folder and read back. Inside ``scratch`` it goes when that ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}.parquet"
+    base = _SCRATCH[-1] if _SCRATCH else shared_dir(spark).rstrip("/")
+    path = f"{base}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
