@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import checkpointed, ship, stored
+from ..runtime import ship, stored
 from .common import add_columns, keyed, mix64, strings
 
 BITS = 128
@@ -418,7 +418,7 @@ def _then_none(items):
 def components(edges: DataFrame) -> DataFrame:
     """``(id, group)``: the least id of the component, for every id that has an edge.
 
-    Alternating large-star and small-star steps, which end after about log n rounds; each round is checkpointed.
+    Alternating large-star and small-star steps, which end after about log n rounds; each round is written to the shared folder.
     """
     edges = stored(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
     while True:
@@ -428,7 +428,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        new = checkpointed(small.where("u <> v").distinct())
+        new = stored(small.where("u <> v").distinct(), "edges")
         # done when every node has one edge, and no centre is a member elsewhere
         state = new.groupBy("u").count().agg(F.max("count")).first()[0]
         chained = new.join(new.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count() if state == 1 else 1

@@ -44,3 +44,22 @@ def test_stages(spark, small, tmp_path):
 def test_run(spark, small):
     a, b = (sorted((r.doc_id, tuple(r.token_ids)) for r in P.run(spark, small).collect()) for _ in range(2))
     assert a == b and a
+
+
+def test_odd_rows(spark, small, tmp_path):
+    """Nulls in every column, string ids, repeated rows, clashing extra columns, a very long text, an empty table."""
+    schema = "doc_id string, text string, lang string, source string, n_chars long, keep string, k int, content_share double"
+    clean = spark.read.parquet(f"{small}/documents.parquet").orderBy("n_chars").limit(30).collect()
+    rows = [(str(r.doc_id), r.text, r.lang, None if r.doc_id % 3 else r.source, None, "x", None, 0.5) for r in clean]
+    rows += [rows[0], (None, None, None, None, None, None, None, None), (None, clean[1].text, "en", "s", 1, "y", 1, None), ("e", "", "en", "s", 0, None, 1, None), ("long", clean[2].text * 3000, "en", "s", 0, None, 1, None)]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        columns, before = docs.columns, docs.count()
+        for k, (name, stage) in enumerate(P.STAGES):
+            out = str(tmp_path / f"{before}-{k}")
+            stage(spark, docs, small).write.parquet(out)
+            docs = spark.read.parquet(out)
+            if name != "bpe":
+                assert docs.columns == columns
+                assert not docs.where("keep NOT IN ('x', 'y')").count()
+        assert (docs.count() > 5) == (before > 0)
+        assert {r.doc_id for r in docs.collect()} <= {r[0] for r in rows}
