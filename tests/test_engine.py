@@ -246,3 +246,31 @@ def test_bytes():
     data = "aé漢".encode()
     assert [X.safe_cut(data, k) for k in range(-1, 8)] == [0, 0, 1, 1, 3, 3, 3, 6, 6]
     assert X.cache_name("/a/b/", dual=True, model="m") == "#a#b-dual-vector-m"
+
+
+def test_bm25_by_blocks_and_by_joins_agree(spark, small, monkeypatch):
+    from sparquill.plans import catalog
+
+    asked, tokens = catalog._asked(spark, small), catalog._tokens(spark, small)
+    for b in (0.0, 0.75):
+        for match_only in (False, True):
+            one = sorted(tuple(r) for r in retrieval.bm25(tokens, asked, 5, b=b, match_only=match_only).collect())
+            with monkeypatch.context() as m:
+                m.setattr(retrieval, "BROADCAST_BYTES", 0)
+                two = sorted(tuple(r) for r in retrieval.bm25(tokens, asked, 5, b=b, match_only=match_only).collect())
+            assert one == two and one
+
+
+def test_bm25_reads_documents_once(spark, small, monkeypatch):
+    from sparquill.plans import catalog
+
+    scans, write = [], retrieval.stored
+
+    def counted(df, name):
+        scans.append(df._jdf.queryExecution().executedPlan().toString().count("documents.parquet"))
+        return write(df, name)
+
+    monkeypatch.setattr(retrieval, "stored", counted)
+    out = catalog.QUERIES["rt_bm25"](spark, small)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sum(scans) == 1 and "documents.parquet" not in plan and "Exchange hashpartitioning(token" not in plan
