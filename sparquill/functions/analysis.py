@@ -148,6 +148,22 @@ def chain_components(expr: str) -> list[dict]:
     return out
 
 
+def parse_chain(expr: str, language: str) -> list[dict] | None:
+    """(name, type) of the components of a chained expression, by the rules of its language; None for a language without rules.
+
+    C and C++: what stands before ``::`` is a namespace or class, what follows is called or accessed as a member.
+    Languages with dots: a call, or a scope.
+    """
+    name = lambda p: re.split(r"[(\[]", p, maxsplit=1)[0].strip()
+    if language in ("c", "cpp"):
+        *scopes, rest = split_top(expr.strip(), ("::",))
+        parts = [p for p in split_top(rest.replace("->", "\x01"), ("\x01", ".")) if p]
+        return [{"name": s, "type": "namespace_or_class"} for s in scopes if s] + [{"name": name(p), "type": "function_call" if "(" in p else "member_access"} for p in parts]
+    if language in ("python", "java", "solidity"):
+        return [{"name": name(p), "type": "function_call" if "(" in p else "scope"} for p in split_top(expr.strip(), (".",)) if p]
+    return None
+
+
 def is_chained(expr: str) -> bool:
     """Two or more member operators outside brackets, or one after a call."""
     parts = split_top(expr, ("->", "."))
@@ -388,6 +404,12 @@ RULES = {
 }
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("type", T.StringType())])))
+def parsed_chain(expr: pd.Series, language: pd.Series) -> pd.Series:
+    """``parse_chain`` of two columns; null in either gives null."""
+    return pd.Series([None if e is None or lang is None else parse_chain(e, lang) for e, lang in zip(expr, language)], dtype=object)
+
+
 def as_udf(name: str):
     """The rule as a UDF of one string column; null gives null."""
     rule, kind = RULES[name]

@@ -53,8 +53,7 @@ LANGUAGES = {
         "shell": "sh bash zsh fish ps1 psm1 bat cmd",
         "ini": "toml ini cfg conf xaml proto graphql gql sql",
         "makefile": "mk cmake gradle sbt bazel bzl",
-        "documentation": "md markdown mdown mkd mkdn rst txt json jsonl yaml yml",
-        "xml": "xml",
+        "documentation": "md markdown mdown mkd mkdn rst txt json jsonl yaml yml xml",
     }.items()
 }
 LANGUAGES["scheme"] += LANGUAGES.pop("lisp")
@@ -101,6 +100,15 @@ def line_and_column(text: Column, offset: Column) -> Column:
     return F.struct(line.cast("int").alias("line"), F.octet_length(F.substring_index(before, "\n", -1)).alias("col"))
 
 
+def char_start(text: Column, at: Column) -> Column:
+    """``safe_cut`` as a column: the greatest byte offset up to ``at`` that doesn't cut a character of the text."""
+    raw = F.encode(text, "utf-8")
+    place = F.greatest(F.least(at, F.octet_length(text)), F.lit(0)).cast("int")
+    inside = lambda k: F.hex(F.substring(raw, place - k + 1, F.lit(1))).rlike("^[89AB]")
+    back = F.when(~inside(0), 0).when(~inside(1), 1).when(~inside(2), 2).otherwise(3)
+    return F.when(place >= F.octet_length(text), place).otherwise(place - back)
+
+
 def safe_cut(data: bytes, at: int) -> int:
     """The greatest offset up to ``at`` that doesn't cut a UTF-8 character."""
     at = max(0, min(at, len(data)))
@@ -163,6 +171,19 @@ def type_arguments(params: Column, args: Column) -> Column:
     return F.map_from_arrays(F.slice(params, 1, n), F.slice(args, 1, n))
 
 
+def parameters_of(params: Column, args: Column) -> Column:
+    """Map of arguments to the type parameters that they stand for, the first of each; the inverse of ``type_arguments``."""
+    n = F.least(F.size(params), F.size(args))
+    pairs = F.arrays_zip(F.slice(args, 1, n).alias("arg"), F.slice(params, 1, n).alias("param"))
+    first = F.filter(pairs, lambda p, i: F.array_position(F.slice(args, 1, n), p["arg"]) == i + 1)
+    return F.map_from_entries(first)
+
+
+def complete_only(definitions: Column, flags: Column) -> Column:
+    """The definitions whose flag is ``yes``, in their order."""
+    return F.transform(F.filter(F.arrays_zip(definitions.alias("d"), flags.alias("f")), lambda x: F.lower(x["f"]) == "yes"), lambda x: x["d"])
+
+
 def query_tokens(query: Column) -> Column:
     return F.split(query, r"\[TOKEN_SPLIT\]")
 
@@ -197,25 +218,28 @@ def document_type(ext: Column) -> Column:
     return F.when(F.lower(ext).isin(*CODE_EXTENSIONS), "code").when(F.lower(ext).isin(*TEXT_EXTENSIONS), "text").otherwise("unknown")
 
 
-#: Marks of each kind of content; a kind's score is how many of its marks occur.
+#: Marks of each kind of content, longest first; a kind's score is how many of its marks occur in the lower-case text.
 MARKS = {
-    "yaml": ("---\n", "version:", "name:\n", "- name:", "env:"),
-    "rst": ("====", ".. note::", ":ref:", "~~~~", ".. code-block::"),
-    "json": ('{"', '":', "[{", '"}', "null,"),
-    "markdown": ("# ", "```", "](", "**", "| "),
-    "code": ("def ", "class ", "return ", "import ", "{", ";"),
-    "text": (". ", ", ", " the ", " and ", " of "),
+    "yaml": tuple('environment:¦metadata:¦networks:¦services:¦version:¦volumes:¦build:¦image:¦ports:¦data:¦kind:¦spec:¦---¦...¦- ¦: ¦&¦*¦>¦|'.split("¦")),
+    "rst": tuple('.. autofunction::¦.. automodule::¦.. code-block::¦.. autoclass::¦.. toctree::¦.. warning::¦.. image::¦.. note::¦----¦====¦^^^^¦~~~~¦.. ¦:::¦::'.split("¦")),
+    "json": tuple('"value":¦"data":¦"name":¦"type":¦"id":¦false¦null¦true¦",¦":¦[¦]¦{¦}'.split("¦")),
+    "markdown": tuple('###### ¦##### ¦#### ¦- [ ]¦- [x]¦### ¦## ¦***¦---¦```¦~~~¦# ¦**¦> ¦](¦__¦| ¦*¦[¦_'.split("¦")),
+    "code": tuple('public class¦namespace ¦protected ¦function ¦#include¦package ¦private ¦import ¦class ¦const ¦trait ¦<?php¦from ¦func ¦impl ¦def ¦let ¦var ¦#!/¦fn ¦->¦::¦;\n¦<%¦=>¦{¦}'.split("¦")),
+    "text": tuple('https://¦http://¦### ¦## ¦1. ¦2. ¦3. ¦# ¦* ¦**¦- ¦](¦__¦*¦[¦_'.split("¦")),
 }
 
 
 def content_type(text: Column) -> Column:
-    """The kind with the most marks; of equals the first named. Braces and semicolons in number speak for code."""
+    """The kind with the most marks; of equals the first named; ``unknown`` without any, or where all is blank.
+
+    Braces beyond one in a hundred characters, or semicolons beyond two, count as two marks of code.
+    """
     low = F.lower(text)
-    many = lambda c, share: (F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))) > F.length(text) * share
+    count = lambda *marks: sum((F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in marks), F.lit(0))
     score = {k: sum(((low.contains(m)).cast("int") for m in marks), F.lit(0)) for k, marks in MARKS.items()}
-    score["code"] = score["code"] + 2 * (many("{", 0.01) | many(";", 0.02)).cast("int")
+    score["code"] = score["code"] + 2 * ((count("{", "}") > F.length(text) * 0.01) | (count(";") > F.length(text) * 0.02)).cast("int")
     most = F.greatest(*score.values())
-    out = F.when(F.trim(text) == "", "text")
+    out = F.when((F.trim(F.regexp_replace(text, r"\s", "")) == "") | (most == 0), "unknown")
     for k, s in score.items():
         out = out.when(s == most, k)
     return out

@@ -20,7 +20,9 @@ def chains(calls: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFra
     """``(root, path, depth)`` of every chain from a root to a leaf, or to where it would enter a cycle.
 
     ``calls`` has ``(caller, callee)``, ``roots`` has ``root``. A callee that is on the path already isn't entered
-    again. Repeated calls and repeated roots count once. Chains of one node aren't chains.
+    again. A chain of ``max_depth`` nodes ends there. Repeated calls and repeated roots count once. Chains of one node aren't
+    chains. The rows of the recursion are limited by ``spark.sql.cteRecursionRowLimit``: all simple paths are exponentially
+    many in dense graphs, and ``reachable`` is for these.
     """
     edges, start = _view(calls.where("caller IS NOT NULL AND callee IS NOT NULL").select("caller", "callee").distinct()), _view(roots.where("root IS NOT NULL").select("root").distinct())
     return calls.sparkSession.sql(f"""
@@ -30,7 +32,7 @@ def chains(calls: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFra
           SELECT t.root, c.callee, array_append(t.path, c.callee), t.depth + 1
           FROM t JOIN {edges} c ON c.caller = t.node WHERE NOT array_contains(t.path, c.callee) AND t.depth + 1 < {max_depth})
         SELECT root, path, depth FROM t
-        WHERE depth > 0 AND NOT EXISTS (SELECT 1 FROM {edges} c WHERE c.caller = t.node AND NOT array_contains(t.path, c.callee))""")
+        WHERE depth > 0 AND depth = {max_depth} - 1 OR depth > 0 AND NOT EXISTS (SELECT 1 FROM {edges} c WHERE c.caller = t.node AND NOT array_contains(t.path, c.callee))""")
 
 
 def reachable(calls: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFrame:
@@ -83,6 +85,33 @@ def callers(tokens: DataFrame) -> DataFrame:
     return inside.select(F.col("enclosing").alias("caller"), F.col("name").alias("callee"), "doc_id", "line")
 
 
+def look_up(tokens: DataFrame, wanted: DataFrame, tag: str) -> DataFrame:
+    """Declarations of the names in ``wanted(name, doc_id, line)`` with the tag (``FUNCDEF``, ``CLASS``, ``VARDECL``), the nearest of each.
+
+    ``(name, doc_id, line, def_doc, def_line)``: one in the same document goes before others, then the nearest line,
+    then the lesser document; names that are declared nowhere are left out. An equi-join on the name, with a least
+    value of each on top that is aggregated before the shuffle.
+    """
+    defs = tokens.where(F.col("tag") == tag).select("name", F.col("doc_id").alias("def_doc"), F.col("line").alias("def_line"))
+    order = F.struct((F.col("doc_id") != F.col("def_doc")).alias("elsewhere"), F.abs(F.col("line") - F.col("def_line")).alias("gap"), "def_doc", "def_line")
+    best = wanted.join(defs, "name").groupBy("name", "doc_id", "line").agg(F.min(order).alias("b"))
+    return best.select("name", "doc_id", "line", "b.def_doc", "b.def_line")
+
+
+def callers_of(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(callee, caller, doc_id, header_line)``: the functions that call the names in ``wanted(callee)``, with their headers, each once."""
+    calls = callers(tokens).join(wanted.select("callee").distinct(), "callee", "left_semi")
+    headers = function_headers(tokens).select(F.col("name").alias("caller"), "doc_id", F.col("line").alias("header_line"))
+    near = calls.join(headers, ["caller", "doc_id"]).where("header_line <= line")
+    return near.groupBy("callee", "caller", "doc_id", "line").agg(F.max("header_line").alias("header_line")).select("callee", "caller", "doc_id", "header_line").distinct()
+
+
+def tree_edges(found: DataFrame) -> DataFrame:
+    """``(root, caller, callee)`` of chains with their paths, each once: what is stored of a tree, or of a forest by union."""
+    pairs = F.transform(F.slice("path", 2, F.size("path")), lambda x, i: F.struct(F.get(F.col("path"), i).alias("caller"), x.alias("callee")))
+    return found.select("root", F.inline(pairs)).distinct()
+
+
 def resolve(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """Each call ``(doc_id, caller, callee, line)`` with the definition it means: ``def_doc`` and ``def_line``.
 

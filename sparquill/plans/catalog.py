@@ -97,13 +97,13 @@ def sc_expressions(spark, d):
 
 def _marks_sql() -> str:
     quote = lambda m: "'" + m.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-    many = lambda c, s: f"(length(text) - length(replace(text, '{c}', ''))) > length(text) * {s}"
+    count = lambda c: f"(length(text) - length(replace(text, '{c}', '')))"
     cols = []
     for k, marks in X.MARKS.items():
         s = " + ".join(f"contains(low, {quote(m)})::INT" for m in marks)
-        cols.append(f"{s}{' + 2 * (' + many('{', 0.01) + ' OR ' + many(';', 0.02) + ')::INT' if k == 'code' else ''} AS s_{k}")
+        cols.append(f"{s}{' + 2 * (' + count('{') + ' + ' + count('}') + ' > length(text) * 0.01 OR ' + count(';') + ' > length(text) * 0.02)::INT' if k == 'code' else ''} AS s_{k}")
     best = "greatest(" + ", ".join(f"s_{k}" for k in X.MARKS) + ")"
-    return f"SELECT doc_id, CASE WHEN trim(text) = '' THEN 'text' {' '.join(f'WHEN s_{k} = {best} THEN {chr(39)}{k}{chr(39)}' for k in X.MARKS)} END AS kind FROM (SELECT doc_id, text, {', '.join(cols)} FROM (SELECT doc_id, text, lower(text) AS low FROM documents))"
+    return f"SELECT doc_id, CASE WHEN trim(regexp_replace(text, '\\s', '', 'g')) = '' OR {best} = 0 THEN 'unknown' {' '.join(f'WHEN s_{k} = {best} THEN {chr(39)}{k}{chr(39)}' for k in X.MARKS)} END AS kind FROM (SELECT doc_id, text, {', '.join(cols)} FROM (SELECT doc_id, text, lower(text) AS low FROM documents))"
 
 
 @query(_marks_sql())
@@ -456,10 +456,10 @@ def cx_prompt(spark, d):
 
 @query()
 def em_vectors(spark, d):
-    """Embeddings of the benchmark items by feature hashing."""
+    """Embeddings of the documents by feature hashing."""
     from ..providers import embed
 
-    return table(spark, d, "benchmark").select("item_id", embed(F.col("text")).alias("vec"))
+    return _docs(spark, d).select("doc_id", embed(F.col("text")).alias("vec"))
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
@@ -510,3 +510,6 @@ def lq_chains(spark, d):
     expr = F.when(F.col("id") % 3 == 0, "a->b(1).c(2)").otherwise("ns::go(x)")
     kinds = as_udf("segments")(F.concat(F.lit("n + f(1, "), F.col("id").cast("string"), F.lit(") * 2")))
     return s.select("id", as_udf("is_chained")(expr).alias("chained"), F.array_join(F.transform(as_udf("chain_components")(expr), lambda c: c["component"]), "|").alias("parts"), F.array_join(F.transform(kinds, lambda k: k["kind"]), "|").alias("kinds"))
+
+
+from . import catalog_more  # noqa: E402, F401  (registers its queries)

@@ -88,6 +88,26 @@ def embed_missing(chunks: DataFrame, cached: DataFrame, provider: str = "hash")
     return todo.select("chunk_id", embed(F.col("text"), provider).alias("vec"))
 
 
+def understood(docs: DataFrame, model: str = "extractive", provider: str = "hash") -> DataFrame:
+    """``docs`` with ``summary``, what the model says of the text, and with the vectors of both: ``vec`` and ``summary_vec``.
+
+    A null or blank text has an empty summary and zero vectors. Rows stay where they are.
+    """
+    told = docs.withColumn("summary", complete(F.coalesce("text", F.lit("")), model))
+    return told.withColumn("vec", embed(F.col("text"), provider)).withColumn("summary_vec", embed(F.col("summary"), provider))
+
+
+def audited(answers: DataFrame, model: str = "extractive") -> DataFrame:
+    """The audit table of ``(prompt, response)`` rows: with the model's name and the words of either side."""
+    n = lambda c: F.size(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).cast("long")
+    return answers.select(F.lit(model).alias("model"), "prompt", "response", n(F.col("prompt")).alias("prompt_tokens"), n(F.col("response")).alias("completion_tokens"))
+
+
+def usage(audit: DataFrame) -> DataFrame:
+    """Calls and tokens of each model."""
+    return audit.groupBy("model").agg(F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
+
+
 def prompt(system: Column, contexts: Column, question: Column) -> Column:
     """System text, numbered contexts (path, text), question."""
     shown = F.array_join(F.transform(contexts, lambda c, i: F.concat((i + 1).cast("string"), F.lit(". File: "), c["path"], F.lit("\n"), c["text"])), "\n\n")

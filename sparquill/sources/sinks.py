@@ -27,3 +27,39 @@ def write_answer(answer: DataFrame, path: str) -> None:
 
 def previews(docs: DataFrame, n: int = 200) -> DataFrame:
     return docs.select("doc_id", F.substring("text", 1, n).alias("preview"))
+
+
+def write_rankings(path: str, **rankings: DataFrame) -> None:
+    """A CSV folder for each ranking, best score first: ``write_rankings(p, bm25=a, dense=b, sum=c, rrf=d)``."""
+    for name, scores in rankings.items():
+        write_scores(scores, f"{path}/{name}_scores.csv")
+
+
+def write_report(path: str, prompt: DataFrame, response: DataFrame, retrieved: DataFrame, context: DataFrame, lexical: DataFrame, metadata: DataFrame) -> None:
+    """What a question gave, a folder each: prompt and response as text, the retrieved rows, context, lexical hits and metadata as JSON lines."""
+    prompt.select(F.col("prompt").alias("value")).write.text(f"{path}/prompt")
+    response.select(F.col("response").alias("value")).write.text(f"{path}/response")
+    for name, rows in (("retrieved_documents", retrieved), ("context", context), ("bm25_retrieved", lexical), ("metadata", metadata)):
+        rows.write.json(f"{path}/{name}")
+
+
+def write_edges(edges: DataFrame, path: str) -> None:
+    """A tree or forest of calls as Parquet, ``(root, caller, callee)``."""
+    edges.select("root", "caller", "callee").write.parquet(path)
+
+
+def read_edges(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("root", "caller", "callee")
+
+
+def located_chains(rendered: DataFrame, places: DataFrame) -> DataFrame:
+    """Add ``located``: the chain as ``file,line->file,line``. ``places`` has ``(name, file, line)``, each name once."""
+    parts = rendered.select("root", "path", F.posexplode("path").alias("at", "name")).join(places, "name", "left")
+    shown = F.concat_ws(",", F.coalesce("file", F.lit("?")), F.coalesce(F.col("line").cast("string"), F.lit("?")))
+    whole = parts.groupBy("root", "path").agg(F.array_sort(F.collect_list(F.struct("at", shown.alias("place")))).alias("p"))
+    return whole.select("root", "path", F.array_join(F.transform("p", lambda x: x["place"]), "->").alias("located"))
+
+
+def audit(rows: DataFrame, path: str) -> None:
+    """Append prompts and responses to the audit table."""
+    rows.write.mode("append").parquet(path)

@@ -274,3 +274,62 @@ def test_bm25_reads_documents_once(spark, small, monkeypatch):
     out = catalog.QUERIES["rt_bm25"](spark, small)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert sum(scans) == 1 and "documents.parquet" not in plan and "Exchange hashpartitioning(token" not in plan
+
+
+def test_content_types(spark):
+    """Literal rows, worked out by hand from the marks."""
+    rows = [("hello world", "unknown"), ("  \n ", "unknown"), ("{}", "code"), ('["a", null]', "json"), ("a: b", "yaml"), (".. note:: x", "rst"), ("const x = 1;\nlet y = 2;\n", "code"), ("1. see http://a.org", "text"), ("import os\nclass a", "code")]
+    df = spark.createDataFrame(rows, "t string, want string").select("t", "want", X.content_type(F.col("t")).alias("got"))
+    assert [(r.t, r.got) for r in df.collect()] == rows
+
+
+def test_chains_end_at_the_depth(spark):
+    calls = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "caller int, callee int")
+    root = spark.createDataFrame([(1,)], "root int")
+    assert [r.path for r in callgraph.chains(calls, root, 3).collect()] == [[1, 2, 3]]
+    assert [r.path for r in callgraph.chains(calls, root, 1000).collect()] == [[1, 2, 3, 4]]
+
+
+def test_shared_folder_has_to_be_named_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from sparquill import runtime
+
+    off = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(off)
+
+
+def test_scratch_goes_at_its_end(spark):
+    import os
+
+    from sparquill import runtime
+
+    with runtime.scratch(spark) as base:
+        runtime.stored(spark.range(3), "some")
+        assert os.path.isdir(base.removeprefix("file://"))
+    assert not os.path.exists(base.removeprefix("file://"))
+
+
+def test_query_driven_embeds_candidates_alone(spark):
+    from sparquill import providers
+
+    seen = []
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha"), (3, "gamma")], "doc_id long, text string")
+    ranking = spark.createDataFrame([(0, 1, 2.0, 1), (0, 2, 1.0, 2)], "query_id long, doc_id long, score double, rank int")
+    got = retrieval.candidates(docs, ranking)
+    assert sorted(r.doc_id for r in got.collect()) == [1, 2] and not seen
+    asked = spark.range(1).select(F.col("id").alias("query_id"), providers.embed(F.lit("alpha")).alias("vec"))
+    rows = retrieval.query_driven(ranking, got, asked).orderBy("rank").collect()
+    assert {r.doc_id for r in rows} == {1, 2} and len(rows) == 2
+
+
+def test_report_and_rankings(spark, tmp_path):
+    from sparquill.sources import sinks
+
+    one = spark.createDataFrame([(0, 1, 2.0)], "query_id int, doc_id int, score double")
+    answer = spark.createDataFrame([("why?", "so")], "prompt string, response string")
+    sinks.write_report(str(tmp_path / "r"), answer, answer, one, one, one, one)
+    assert sorted(p.name for p in (tmp_path / "r").iterdir()) == ["bm25_retrieved", "context", "metadata", "prompt", "response", "retrieved_documents"]
+    sinks.write_rankings(str(tmp_path / "s"), bm25=one, dense=one, sum=one, rrf=one)
+    assert len(list((tmp_path / "s").iterdir())) == 4
