@@ -1,9 +1,10 @@
 """Quality rules by line sequence labelling, and a quality classifier by pairwise ranking.
 
-Both are fitted on a bounded sample of labelled rows and then judge every document whole,
-without a shuffle: the models are a few thousand numbers that travel with the task.
+Both are fitted on all labelled rows and then judge every document whole, without a shuffle: the models are a few
+thousand numbers, and boilerplate lines' hashes, that travel with the task. What is made of labelled rows is stored and
+added up where it lies, so that the driver has sums alone, whatever the number of labels and of rows that repeat an id.
 
-Labels are of documents, so those of lines are found on the way. A line that several texts of the sample
+Labels are of documents, so those of lines are found on the way. A line that several labelled texts
 have, each among other lines, is boilerplate, wherever it is. The other lines of good documents are content. Those of
 bad documents are latent: they start from hand-set weights and go by the model's own Viterbi path in turns
 (hard EM), under the constraint that their label sets: half of their bytes are boilerplate at least.
@@ -11,7 +12,8 @@ bad documents are latent: they start from hand-set weights and go by the model's
 
 from __future__ import annotations
 
-from collections import defaultdict
+import pickle
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -19,21 +21,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import ship
+from ..runtime import scratch, ship, stored
 from .common import add_columns, blocks, strings
 from .features import GRAMS, NAMES, document_features, gram_shares, line_features
 
-#: Labelled rows of each class that a model is fitted on, at most.
-SAMPLE_PER_CLASS = 2000
+#: What is made of the labelled rows is fitted on by the driver alone up to so many bytes, beyond it where it lies; the sums are the same.
+LOCAL_BYTES = 1 << 22
+#: Tasks whose sums go to the driver at once.
+TASKS = 64
+#: Bits of the bitmap of labelled ids.
+FILTER_BITS = 1 << 26
 #: Padded lines of a block of documents that the CRF is fitted on together; a longer document is a block of its own.
 FIT_BLOCK = 1 << 18
-#: Texts of the sample that a boilerplate line is in, at least, and the share of different neighbours it has in them.
+#: Labelled texts that a boilerplate line is in, at least, and the share of different neighbours it has in them.
 LINE_TEXTS, LINE_NEIGHBOURS = 3, 0.8
 #: Content share, by bytes, from which a document is retained: this, or this quantile of the labelled good ones if it is less.
 MIN_CONTENT_SHARE, SHARE_QUANTILE = 0.5, 0.004
 #: The classifier's threshold is this quantile of the labelled good documents' scores.
 SCORE_QUANTILE = 0.002
-PAIRS = 40_000
+#: Cells of the scores by which the pairs of documents add up: in the slope, linearly between cells, and in the curvature.
+CELL, WIDE_CELL = 1 / 64, 1 / 2
 
 
 def _id(column: str = "doc_id") -> F.Column:
@@ -41,36 +48,92 @@ def _id(column: str = "doc_id") -> F.Column:
     return F.col(column).cast("string")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """``(doc_id, text, quality)``: of either class the ``per_class`` labels that hash lowest; ids of any type, as text.
+def _marks(labels: DataFrame) -> DataFrame:
+    """``(doc_id, quality)``: ids of any type, as text, each once.
 
     Labels with nulls, and other values than 0 and 1, count for nothing; of repeated labels the highest counts.
     """
     known = labels.select(_id().alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
-    order = F.xxhash64("doc_id")
-    of = [known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(per_class) for q in (0, 1)]
-    few = of[0].unionByName(of[1]).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    # at most 2 * per_class rows, whatever the tables hold
-    return docs.select(_id().alias("doc_id"), "text").join(F.broadcast(few), "doc_id")
+    return known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
 
 
-def _collected(sample: DataFrame, make, fields: list[str]) -> tuple[list[list[bytes]], np.ndarray]:
-    """What ``make`` gives for the sampled texts (lists of bytes by field), and their labels, in an order by id and value."""
-    ship(sample.sparkSession)
-    schema = "quality int, doc_id string, " + ", ".join(f"{f} binary" for f in fields)
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(doc_id, text, quality)`` of every row of ``docs`` that has a label."""
+    return docs.select(_id().alias("doc_id"), "text").join(_marks(labels), "doc_id")
+
+
+#: The former name.
+labelled_sample = labelled
 
-    def run(batches):
-        for whole, a, b in ((batch, a, b) for batch in batches for a, b in blocks(batch.column("text"))):
-            batch = whole.slice(a, b - a)
-            columns = make(strings(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("quality").cast(pa.int32()), batch.column("doc_id").cast(pa.string()), *[pa.array(c, pa.binary()) for c in columns]], names=["quality", "doc_id", *fields])
 
-    got = sample.select("doc_id", "text", "quality").mapInArrow(run, schema).collect()
+def _made(docs: DataFrame, labels: DataFrame, make, fields: list[str]) -> DataFrame:
+    """``(doc_id, quality)`` and what ``make`` gives (lists of bytes by field) of every row that has a label, as a stored table.
+
+    Texts aren't shuffled: a bitmap of hashed ids tells which rows may have a label, and what is made of them is joined.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    marks = stored(_marks(labels), "labels")
+    bit = f"pmod(xxhash64(doc_id), {FILTER_BITS})"
+    words = marks.selectExpr(f"{bit} DIV 64 AS word", f"shiftleft(1L, CAST({bit} % 64 AS INT)) AS mask").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("mask").to_numpy()
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        for batch in batches:
+            at = batch.column("bit").to_numpy()
+            whole = batch.filter(pa.array((shared.value[at >> 6] >> (at & 63) & 1).astype(bool)))
+            for a, b in blocks(whole.column("text")):
+                part = whole.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.string()), *[pa.array(c, pa.binary()) for c in make(strings(part.column("text")))]], names=["doc_id", *fields])
+
+    own = docs.select(_id().alias("doc_id"), "text").selectExpr("doc_id", f"{bit} AS bit", "text")
+    made = own.mapInArrow(run, "doc_id string, " + ", ".join(f"{f} binary" for f in fields))
+    return stored(made.join(marks, "doc_id"), "made")
+
+
+def _collected(made: DataFrame, fields: list[str], most: int | None) -> tuple[list[list[bytes]], np.ndarray] | None:
+    """The fields and labels of all rows, in an order by id and value; none if they take more than ``most`` bytes."""
+    size = made.agg(F.sum(sum(F.length(f) + 64 for f in fields))).first()[0] or 0
+    if most is not None and size > most:
+        return None
+    got = made.select("doc_id", "quality", *fields).collect()
     got.sort(key=lambda r: (r.doc_id, r.quality, bytes(r[2])))
     return [[bytes(r[2 + k]) for r in got] for k in range(len(fields))], np.array([r.quality for r in got], np.int64)
 
 
+def _merged(parts: list) -> list:
+    """Sums by place of arrays, and by cell of pairs (cells, sums); parts are put in an order, so that they add up alike each time."""
+    out = []
+    for column in zip(*sorted(parts, key=pickle.dumps)):
+        if isinstance(column[0], tuple):
+            cells = np.unique(np.concatenate([c for c, _ in column]))
+            sums = np.zeros((len(cells), *column[0][1].shape[1:]))
+            for c, v in column:
+                sums[np.searchsorted(cells, c)] += v
+            out.append((cells, sums))
+        else:
+            out.append(sum(column[1:], column[0]))
+    return out
+
+
+def _total(made: DataFrame, each) -> list:
+    """What ``each`` gives for the parts of all Arrow batches, merged in each task and then by the driver, from ``TASKS`` tasks at most or one a core."""
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            for part in each(batch):
+                held = [_merged([*held, part])]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(held[0])], pa.binary())], names=["v"])
+
+    few = made.coalesce(max(TASKS, made.sparkSession.sparkContext.defaultParallelism))
+    return _merged([pickle.loads(r.v) for r in few.mapInArrow(run, "v binary").collect()])
+
+
 # linear-chain conditional random field
 
 LINE_NAMES = (*NAMES, "again", "symbol_much", "upper_much", "adjacent_much", "known")
@@ -253,17 +316,20 @@ def fit_rules(rows: list[np.ndarray], hashes: list[np.ndarray], sizes: list[np.n
     return model | {"known": known, "min_share": np.array(min(least, MIN_CONTENT_SHARE))}
 
 
-def train_rules(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> dict[str, np.ndarray]:
-    """A model of all lines of ``per_class`` labelled documents of either class, at most. Without labels it is the prior."""
+def train_rules(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
+    """A model of all lines of all labelled documents. Without labels it is the prior."""
 
     def make(texts):
         x, size, hashes, lines = crf_inputs(texts, np.zeros(0, np.uint64))
         cuts = np.cumsum(lines)[:-1]
         return [[p.tobytes() for p in np.split(a, cuts)] for a in (x, hashes, size.astype(np.int64))]
 
-    (x, hashes, sizes), quality = _collected(labelled_sample(docs, labels, per_class), make, ["x", "hashes", "sizes"])
-    rows = [np.frombuffer(v, np.float32).reshape(-1, len(LINE_NAMES)).copy() for v in x]
-    return fit_rules(rows, [np.frombuffer(v, np.uint64) for v in hashes], [np.frombuffer(v, np.int64) for v in sizes], quality)
+    with scratch(docs.sparkSession):
+        fields = ["x", "hashes", "sizes"]
+        made = _made(docs, labels, make, fields)
+        (x, hashes, sizes), quality = _collected(made, fields, None)
+        rows = [np.frombuffer(v, np.float32).reshape(-1, len(LINE_NAMES)).copy() for v in x]
+        return fit_rules(rows, [np.frombuffer(v, np.uint64) for v in hashes], [np.frombuffer(v, np.int64) for v in sizes], quality)
 
 
 def quality_rules(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", min_share: float | None = None) -> DataFrame:
@@ -295,35 +361,115 @@ def quality_rules(docs: DataFrame, model: dict[str, np.ndarray], text_col: str =
 # Bradley-Terry ranking
 
 
-def fit_ranker(x: np.ndarray, quality: np.ndarray, pairs: int = PAIRS, seed: int = 7, l2: float = 1e-2, quantile: float = SCORE_QUANTILE) -> dict:
-    """Weights by logistic loss on feature differences of (good, bad) pairs, and the threshold.
+def fit_ranker(x: np.ndarray, quality: np.ndarray, pairs: int | None = None, seed: int = 7, l2: float = 1e-2, quantile: float = SCORE_QUANTILE) -> dict:
+    """Weights by logistic loss on feature differences of all (good, bad) pairs, or of ``pairs`` drawn ones, and the threshold.
 
     The threshold is the ``quantile`` of the good documents' scores. Without a pair there is none: all texts pass.
     """
-    good, bad = np.flatnonzero(quality == 1), np.flatnonzero(quality == 0)
-    mean = x.mean(0) if len(x) else np.zeros(x.shape[1])
-    std = x.std(0) + 1e-3 if len(x) else np.ones(x.shape[1])
-    z = (x - mean) / std
-    w = np.zeros(x.shape[1])
-    if not len(good) or not len(bad):
-        return {"mean": mean, "std": std, "w": w, "threshold": None}
-    rng = np.random.default_rng(seed)
-    d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
-    for _ in range(25):  # Newton's method
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        g = d.T @ (1 - p) / pairs - l2 * w
-        h = (d * (p * (1 - p))[:, None]).T @ d / pairs + l2 * np.eye(len(w))
-        step = np.linalg.solve(h, g)
+    if pairs is None:
+        model = fit_pairs(lambda f: _merged([f(x, quality)] if len(x) else []), x.shape[1], l2)
+    else:
+        good, bad = np.flatnonzero(quality == 1), np.flatnonzero(quality == 0)
+        mean, std = x.mean(0), x.std(0) + 1e-3
+        z = (x - mean) / std
+        rng = np.random.default_rng(seed)
+        d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
+
+        def slope(w):
+            p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
+            return d.T @ (1 - p) / pairs, (d * (p * (1 - p))[:, None]).T @ d / pairs
+
+        model = {"mean": mean, "std": std, "w": _newton(slope, x.shape[1], l2), "threshold": None}
+    if len(set(quality.tolist())) == 2:
+        model["threshold"] = float(np.quantile(((x - model["mean"]) / model["std"] @ model["w"])[quality == 1], quantile))
+    return model
+
+
+def _newton(slope, width: int, l2: float) -> np.ndarray:
+    """The weights at which the slope vanishes; ``slope`` gives it and the curvature, without the penalty."""
+    w = np.zeros(width)
+    for _ in range(25):
+        g, h = slope(w)
+        step = np.linalg.solve(h + l2 * np.eye(width), g - l2 * w)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
-    return {"mean": mean, "std": std, "w": w, "threshold": float(np.quantile((z @ w)[good], quantile))}
+    return w
+
+
+def _sigma(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def fit_pairs(run, width: int, l2: float = 1e-2) -> dict:
+    """Weights by the mean logistic loss over all pairs of a good and a bad document; the threshold is left open.
+
+    ``run(f)`` gives the merged f(features, labels) of blocks of documents. The pairs aren't formed: a document's slope is the sum
+    over the other label's scores, which are counted by cells, and shared out linearly between the two next to them.
+    """
+    got = run(lambda x, q: (np.bincount(q, minlength=2).astype(float), x.sum(0), np.square(x).sum(0)))
+    if not got or not got[0].all():
+        mean = got[1] / got[0].sum() if got else np.zeros(width)
+        return {"mean": mean, "std": np.ones(width), "w": np.zeros(width), "threshold": None}
+    n, mean = got[0], got[1] / got[0].sum()
+    std = np.sqrt(np.maximum(got[2] / n.sum() - mean**2, 0)) + 1e-3
+    pairs = n[0] * n[1]
+
+    def slope(w):
+        def count(x, q):
+            s = (x - mean) / std @ w
+            out = []
+            for label in (0, 1):
+                at = s[q == label] / CELL
+                low = np.floor(at)
+                cells, where = np.unique(np.concatenate((low, low + 1)), return_inverse=True)
+                out.append((cells, np.bincount(where, np.concatenate((1 - (at - low), at - low)), len(cells))))
+                wide, many = np.unique(np.round(s[q == label] / WIDE_CELL), return_counts=True)
+                out.append((wide, many.astype(float)))
+            return out
+
+        (bad, nb), (wide_bad, wb), (good, ng), (wide_good, wg) = run(count)
+        bend = _sigma((wide_good[:, None] - wide_bad[None]) * WIDE_CELL)
+        bend = bend * (1 - bend)
+        most = max(1, (1 << 22) // len(bad))
+        # of every pair the chance that the bad one is above, summed over the other side
+        pull = {0: np.zeros(len(bad)), 1: np.zeros(len(good))}
+        for k in range(0, len(good), most):
+            p = _sigma((bad[None] - good[k : k + most, None]) * CELL)
+            pull[1][k : k + most] = p @ nb
+            pull[0] += ng[k : k + most] @ p
+        cells, wide, weight = {0: bad, 1: good}, {0: wide_bad, 1: wide_good}, {0: wg @ bend, 1: bend @ wb}
+
+        def add(x, q):
+            z = (x - mean) / std
+            s = z @ w
+            g, h, out = np.zeros(width), np.zeros((width, width)), []
+            for label in (0, 1):
+                own, at = z[q == label], s[q == label]
+                g += (1 if label else -1) * (np.interp(at / CELL, cells[label], pull[label]) @ own)
+                cell, where = np.unique(np.round(at / WIDE_CELL), return_inverse=True)
+                # where scores differ by rounding from those that were counted, the nearest cell
+                near = np.minimum(np.searchsorted(wide[label], cell), len(wide[label]) - 1)
+                h += (own * weight[label][near][where][:, None]).T @ own
+                sums = np.zeros((len(wide[label]), width))
+                np.add.at(sums, near[where], own)
+                some = np.unique(near)
+                out.append((some, sums[some]))  # cells by their place
+            return g, h, *out
+
+        g, h, (cb, zb), (cg, zg) = run(add)
+        cross = zg.T @ bend[np.ix_(cg, cb)] @ zb
+        return g / pairs, (h - cross - cross.T) / pairs
+
+    return {"mean": mean, "std": std, "w": _newton(slope, width, l2), "threshold": None}
 
 
 RANKED = ("upper", "symbol", "adjacent", "distinct", "symbol_words")
 #: Where a feature's scale is bent: what exceeds this counts less.
 BENT = {"upper": 0.3, "symbol": 0.05, "adjacent": 0.1, "distinct": 0.8, "symbol_words": 0.3}
 WIDTH = 2 * len(RANKED) + GRAMS
+#: Rows whose features are added up at once.
+RANKED_ROWS = 1 << 14
 
 
 def ranker_inputs(texts: pa.Array) -> np.ndarray:
@@ -333,10 +479,52 @@ def ranker_inputs(texts: pa.Array) -> np.ndarray:
     return np.concatenate((some, np.minimum(some, np.array([BENT[k] for k in RANKED], np.float32)), gram_shares(texts)), 1)
 
 
-def train_ranker(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> dict:
-    (values,), quality = _collected(labelled_sample(docs, labels, per_class), lambda texts: [[r.tobytes() for r in ranker_inputs(texts)]], ["x"])
-    x = np.stack([np.frombuffer(v, np.float32) for v in values]).astype(np.float64) if values else np.zeros((0, WIDTH))
-    return fit_ranker(x, quality)
+def train_ranker(docs: DataFrame, labels: DataFrame) -> dict:
+    """The model of all labelled rows, their features stored and added up where they lie."""
+    with scratch(docs.sparkSession):
+        made = _made(docs, labels, lambda texts: [[r.tobytes() for r in ranker_inputs(texts)]], ["x"])
+        local = _collected(made, ["x"], LOCAL_BYTES)
+        if local is not None:
+            (values,), quality = local
+            x = np.stack([np.frombuffer(v, np.float32) for v in values]).astype(np.float64) if values else np.zeros((0, WIDTH))
+            return fit_ranker(x, quality)
+        return _fit_spread(made)
+
+
+def _rows(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(-1, WIDTH).astype(np.float64)
+
+
+def _fit_spread(made: DataFrame) -> dict:
+    """``fit_ranker`` of stored rows."""
+
+    def run(f):
+        def each(batch):
+            for k in range(0, batch.num_rows, RANKED_ROWS):
+                part = batch.slice(k, RANKED_ROWS)
+                yield f(_rows(part), part.column("quality").to_numpy().astype(np.int64))
+
+        return _total(made.select("x", "quality"), each)
+
+    model = fit_pairs(run, WIDTH)
+    if not model["w"].any():
+        return model
+
+    def score(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, RANKED_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array((_rows(batch.slice(k, RANKED_ROWS)) - model["mean"]) / model["std"] @ model["w"])], names=["v"])
+
+    good = made.where("quality = 1")
+    return model | {"threshold": _quantile(good.select("x").mapInArrow(score, "v double"), good.count(), SCORE_QUANTILE)}
+
+
+def _quantile(values: DataFrame, n: int, q: float, lower: bool = False) -> float:
+    """The quantile of the ``n`` numbers ``v``, as numpy has it; only those below it are brought to the driver."""
+    at = q * (n - 1)
+    k = int(at)
+    least = [r.v for r in values.orderBy("v").limit(k + 2).collect()]
+    return least[k] if lower or at == k else least[k] + (at - k) * (least[k + 1] - least[k])
 
 
 def quality_classifier(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:

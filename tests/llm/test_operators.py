@@ -700,6 +700,35 @@ def test_ranker_by_plain_gradient():
     assert model["threshold"] == pytest.approx(np.quantile((z @ model["w"])[q == 1], quality.SCORE_QUANTILE))
 
 
+def test_ranker_by_all_pairs():
+    """Every pair of a good and a bad document counts, though none is formed."""
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(240, 5)), rng.integers(0, 2, 240)
+    x[:, 1] += 2 * q
+    x[:, 3] -= q
+    model = quality.fit_ranker(x, q)
+    z = (x - model["mean"]) / model["std"]
+    diff = (z[q == 1][:, None] - z[q == 0][None]).reshape(-1, 5)
+    w = np.zeros(5)
+    for _ in range(3000):
+        w += 0.5 * (diff.T @ (1 - 1 / (1 + np.exp(-diff @ w))) / len(diff) - 1e-2 * w)
+    assert np.abs(w - model["w"]).max() < 1e-4
+
+
+def test_ranker_where_it_lies(spark, docs, labels, monkeypatch):
+    """Beyond what the driver takes alone, all labelled rows add up where they lie, to the same model; repeated ids are many rows."""
+    many = docs.unionByName(docs).unionByName(docs.where("doc_id < 20"))
+    labelled = many.join(labels, "doc_id").count()
+    seen = []
+    monkeypatch.setattr(quality, "fit_ranker", lambda x, q, fit=quality.fit_ranker: seen.append(len(x)) or fit(x, q))
+    alone = quality.train_ranker(many, labels)
+    monkeypatch.setattr(quality, "LOCAL_BYTES", 0)
+    monkeypatch.setattr(quality, "RANKED_ROWS", 7)
+    spread = quality.train_ranker(many, labels)
+    assert seen == [labelled]
+    assert all(np.allclose(alone[k], spread[k], atol=1e-9) for k in ("mean", "std", "w", "threshold"))
+
+
 def test_grams_by_brute_force():
     from sparquill.llm import features
 
