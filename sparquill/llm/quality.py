@@ -94,10 +94,10 @@ def _made(docs: DataFrame, labels: DataFrame, make, fields: list[str]) -> DataFr
     return stored(made.join(marks, "doc_id"), "made")
 
 
-def _collected(made: DataFrame, fields: list[str], most: int | None) -> tuple[list[list[bytes]], np.ndarray] | None:
+def _collected(made: DataFrame, fields: list[str], most: int) -> tuple[list[list[bytes]], np.ndarray] | None:
     """The fields and labels of all rows, in an order by id and value; none if they take more than ``most`` bytes."""
     size = made.agg(F.sum(sum(F.length(f) + 64 for f in fields))).first()[0] or 0
-    if most is not None and size > most:
+    if size > most:
         return None
     got = made.select("doc_id", "quality", *fields).collect()
     got.sort(key=lambda r: (r.doc_id, r.quality, bytes(r[2])))
@@ -212,49 +212,36 @@ def fit_crf(rows: list[np.ndarray], states: list[np.ndarray], quality: np.ndarra
 
     State 1 is boilerplate. Without lines of both states the start stays, which is the prior if none is given.
     """
-    prior = prior_model()["w"]
     start = start or prior_model()
-    w, trans = start["w"].copy(), start["trans"].copy()
-    docs = [(r, s, q) for r, s, q in zip(rows, states, quality) if len(r)]
-    if len({int(y) for _, s, _ in docs for y in s}) < 2:
-        return {"w": w, "trans": trans}
-    docs.sort(key=lambda p: -len(p[0]))
-    groups = []
+    groups = list(_groups(rows, states, quality, FIT_BLOCK))
+    return _ascend(lambda f: _merged([f(*g) for g in groups]), start, steps, rate, l2)
+
+
+def _groups(rows: list[np.ndarray], states: list[np.ndarray], quality: np.ndarray, limit: int):
+    """(features, states, lines, labels) of documents of like lengths, padded: none is shorter than half the longest."""
+    docs = sorted(((r, s, q) for r, s, q in zip(rows, states, quality) if len(r)), key=lambda p: -len(p[0]))
     at = 0
-    while at < len(docs):  # of like lengths, so that padding stays small: none is shorter than half the longest
+    while at < len(docs):
         long = len(docs[at][0])
         end = at + 1
-        while end < len(docs) and (end - at + 1) * long <= FIT_BLOCK and 2 * len(docs[end][0]) >= long:
+        while end < len(docs) and (end - at + 1) * long <= limit and 2 * len(docs[end][0]) >= long:
             end += 1
-        groups.append((*_padded([d[0] for d in docs[at:end]], [d[1] for d in docs[at:end]]), np.array([d[2] for d in docs[at:end]])))
+        yield *_padded([d[0] for d in docs[at:end]], [d[1] for d in docs[at:end]]), np.array([d[2] for d in docs[at:end]])
         at = end
-    total = sum(n.sum() for _, _, n, _ in groups)
-    share = sum(n[q == 0].sum() for _, _, n, q in groups) / total
-    weight = np.array([0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6)]) if 0 < share < 1 else np.ones(2)
+
+
+def _ascend(run, start: dict[str, np.ndarray], steps: int, rate: float = 0.2, l2: float = 1e-3) -> dict[str, np.ndarray]:
+    """Adam on the likelihood of all groups; ``run(f)`` gives the merged f(features, states, lines, labels) of the groups."""
+    prior = prior_model()["w"]
+    w, trans = start["w"].copy(), start["trans"].copy()
+    counts = run(lambda x, y, n, q: (np.bincount(q, n, 2), np.bincount(y[np.arange(y.shape[1])[None] < n[:, None]], minlength=2).astype(float)))
+    if not counts or not counts[1].all():
+        return {"w": w, "trans": trans}
+    total = counts[0].sum()
+    weight = 0.5 / np.maximum(counts[0] / total, 1e-6) if counts[0].all() else np.ones(2)
     m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     for step in range(1, steps + 1):
-        gw, gt = np.zeros_like(w), np.zeros((2, 2))
-        for x, y, n, q in groups:
-            size, long = x.shape[:2]
-            unary = np.zeros((size, long, 2))
-            unary[:, :, 1] = x @ w
-            live = np.arange(long)[None, :] < n[:, None]
-            alpha, beta = np.zeros((size, long, 2)), np.zeros((size, long, 2))
-            alpha[:, 0] = unary[:, 0]
-            for t in range(1, long):
-                alpha[:, t] = _log_sum(alpha[:, t - 1, :, None] + trans[None], 1) + unary[:, t]
-            for t in range(long - 2, -1, -1):
-                nxt = _log_sum(trans[None] + (unary[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-                beta[:, t] = np.where(live[:, t + 1, None], nxt, 0)
-            z = _log_sum(alpha[np.arange(size), n - 1], 1)
-            scale = weight[q] / total
-            # what follows a text's end would overflow, so it is left out before exp
-            p = np.exp(np.where(live, alpha[:, :, 1] + beta[:, :, 1] - z[:, None], -np.inf))
-            gw += np.einsum("st,stf->f", (y - p) * live * scale[:, None], x)
-            both = np.where(live[:, 1:, None, None], alpha[:, :-1, :, None] + trans + (unary[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None], -np.inf)
-            gt -= (np.exp(both) * scale[:, None, None, None]).sum((0, 1))
-            step_in = live[:, 1:] * scale[:, None]
-            np.add.at(gt, (y[:, :-1].astype(int), y[:, 1:].astype(int)), step_in)
+        gw, gt = run(lambda x, y, n, q: crf_slope(x, y, n, weight[q] / total, w, trans))
         g = np.concatenate((gw - l2 * (w - prior), (gt - l2 * trans).ravel()))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -262,6 +249,30 @@ def fit_crf(rows: list[np.ndarray], states: list[np.ndarray], quality: np.ndarra
     return {"w": w, "trans": trans}
 
 
+def crf_slope(x: np.ndarray, y: np.ndarray, n: np.ndarray, scale: np.ndarray, w: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope of the likelihood of a padded group, its documents weighing ``scale``."""
+    gt = np.zeros((2, 2))
+    size, long = x.shape[:2]
+    unary = np.zeros((size, long, 2))
+    unary[:, :, 1] = x @ w
+    live = np.arange(long)[None, :] < n[:, None]
+    alpha, beta = np.zeros((size, long, 2)), np.zeros((size, long, 2))
+    alpha[:, 0] = unary[:, 0]
+    for t in range(1, long):
+        alpha[:, t] = _log_sum(alpha[:, t - 1, :, None] + trans[None], 1) + unary[:, t]
+    for t in range(long - 2, -1, -1):
+        nxt = _log_sum(trans[None] + (unary[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
+        beta[:, t] = np.where(live[:, t + 1, None], nxt, 0)
+    z = _log_sum(alpha[np.arange(size), n - 1], 1)
+    # what follows a text's end would overflow, so it is left out before exp
+    p = np.exp(np.where(live, alpha[:, :, 1] + beta[:, :, 1] - z[:, None], -np.inf))
+    gw = ((y - p) * live * scale[:, None]).ravel() @ x.reshape(-1, x.shape[2])
+    both = np.where(live[:, 1:, None, None], alpha[:, :-1, :, None] + trans + (unary[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None], -np.inf)
+    gt -= (np.exp(both) * scale[:, None, None, None]).sum((0, 1))
+    step_in = live[:, 1:] * scale[:, None]
+    return gw, gt + np.bincount((2 * y[:, :-1].astype(int) + y[:, 1:]).ravel(), step_in.ravel(), 4).reshape(2, 2)
+
+
 def viterbi(x: np.ndarray, lines: np.ndarray, model: dict[str, np.ndarray]) -> np.ndarray:
     """The likeliest states of all lines; all texts advance together, a line at a time. Ties go to content."""
     total = int(lines.sum())
@@ -327,11 +338,103 @@ def train_rules(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     with scratch(docs.sparkSession):
         fields = ["x", "hashes", "sizes"]
         made = _made(docs, labels, make, fields)
-        (x, hashes, sizes), quality = _collected(made, fields, None)
+        local = _collected(made, fields, LOCAL_BYTES)
+        if local is None:
+            return _fit_rules_spread(made)
+        (x, hashes, sizes), quality = local
         rows = [np.frombuffer(v, np.float32).reshape(-1, len(LINE_NAMES)).copy() for v in x]
         return fit_rules(rows, [np.frombuffer(v, np.uint64) for v in hashes], [np.frombuffer(v, np.int64) for v in sizes], quality)
 
 
+def boilerplate_spread(made: DataFrame) -> np.ndarray:
+    """``boilerplate_lines`` of stored rows: each text once, its lines and their neighbours counted by shuffles of hashes."""
+    BEFORE, AFTER, TEXTS = range(3)
+
+    def run(batches):
+        for batch in batches:
+            docs = batch.column("hashes").to_pylist()
+            h = np.frombuffer(b"".join(docs), np.int64)
+            of = np.repeat(np.arange(len(docs)), [len(d) // 8 for d in docs])
+            inner = of[1:] == of[:-1]
+            order = np.lexsort((h, of))
+            new = np.concatenate(([True], (of[order][1:] != of[order][:-1]) | (h[order][1:] != h[order][:-1]))) if len(h) else np.zeros(0, bool)
+            once = h[order][new]
+            line = np.concatenate((h[1:][inner], h[:-1][inner], once))
+            beside = np.concatenate((h[:-1][inner], h[1:][inner], np.zeros(len(once), np.int64)))
+            side = np.repeat(np.array([BEFORE, AFTER, TEXTS], np.int8), [inner.sum(), inner.sum(), len(once)])
+            yield pa.RecordBatch.from_arrays([pa.array(line), pa.array(side), pa.array(beside)], names=["line", "side", "beside"])
+
+    pairs = made.select("hashes").distinct().mapInArrow(run, "line bigint, side tinyint, beside bigint").groupBy("line", "side", "beside").agg(F.count("*").alias("n"))
+    many = lambda side: F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0))
+    kinds = lambda side: F.count(F.when(F.col("side") == side, 1))
+    lines = pairs.groupBy("line").agg(many(TEXTS).alias("texts"), many(BEFORE).alias("n0"), kinds(BEFORE).alias("d0"), many(AFTER).alias("n1"), kinds(AFTER).alias("d1"))
+    apart = [(F.col(f"n{k}") >= LINE_TEXTS) & (F.col(f"d{k}") >= LINE_NEIGHBOURS * F.col(f"n{k}")) for k in (0, 1)]
+    found = lines.where((F.col("texts") >= LINE_TEXTS) & (apart[0] | apart[1])).select("line").toArrow()
+    return np.sort(found.column("line").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _fit_rules_spread(made: DataFrame, rounds: int = 3, steps: int = 30) -> dict[str, np.ndarray]:
+    """``fit_rules`` of stored rows: in each round their groups are stored with the states, and slopes add up where they lie."""
+    spark = made.sparkSession
+    known = boilerplate_spread(made)
+    shared = spark.sparkContext.broadcast(known)
+
+    def rows_of(batch):
+        rows = [np.frombuffer(v, np.float32).reshape(-1, len(LINE_NAMES)).copy() for v in batch.column("x").to_pylist()]
+        for x, h in zip(rows, batch.column("hashes").to_pylist()):
+            x[:, LINE_NAMES.index("known")] = np.isin(np.frombuffer(h, np.uint64), shared.value)
+        return rows
+
+    def grouped(model):
+        def run(batches):
+            rows, quality, lines = [], [], 0
+            for batch in _then_none(batches):
+                if batch is not None:
+                    rows += rows_of(batch)
+                    quality += batch.column("quality").to_pylist()
+                    lines = sum(map(len, rows))
+                if rows and (batch is None or lines >= FIT_BLOCK):
+                    q = np.array(quality, np.int64)
+                    for g in _groups(rows, line_states(rows, q, model), q, FIT_BLOCK // 4):
+                        yield pa.RecordBatch.from_arrays([pa.array([np.asarray(a, kind).tobytes()], pa.binary()) for a, kind in zip(g, GROUP_KINDS)], names=["x", "y", "n", "q"])
+                    rows, quality = [], []
+
+        return made.select("quality", "x", "hashes").mapInArrow(run, "x binary, y binary, n binary, q binary")
+
+    model = prior_model()
+    for _ in range(rounds):
+        with scratch(spark):
+            groups = stored(grouped(model), "groups")
+
+            def run(f):
+                def each(batch):
+                    for row in zip(*[batch.column(c) for c in ("x", "y", "n", "q")]):
+                        x, y, n, q = (np.frombuffer(a.as_buffer(), kind) for a, kind in zip(row, GROUP_KINDS))
+                        yield f(x.reshape(len(n), -1, len(LINE_NAMES)), y.reshape(len(n), -1), n, q)
+
+                return _total(groups, each)
+
+            model = _ascend(run, model, steps)
+
+    def share(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(content_shares(rows_of(batch), [np.frombuffer(v, np.int64) for v in batch.column("sizes").to_pylist()], model))], names=["v"])
+
+    good = made.where("quality = 1 AND length(x) > 0")
+    n = good.count()
+    least = _quantile(good.select("x", "hashes", "sizes").mapInArrow(share, "v double"), n, SHARE_QUANTILE, lower=True) if n else MIN_CONTENT_SHARE
+    return model | {"known": known, "min_share": np.array(min(least, MIN_CONTENT_SHARE))}
+
+
+#: Types of a stored group's features, states, lines and labels.
+GROUP_KINDS = (np.float32, np.int8, np.int64, np.int64)
+
+
+def _then_none(items):
+    yield from items
+    yield None
+
+
 def quality_rules(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", min_share: float | None = None) -> DataFrame:
     """Add ``n_lines``, ``n_content_lines``, ``content_share`` (by bytes, of the lines that aren't blank) and ``keep``.
 

@@ -663,6 +663,20 @@ def test_crf_is_fitted_on_all_lines(spark, monkeypatch):
     assert seen == [1500, 3]
 
 
+def test_rules_where_they_lie(spark, docs, labels, monkeypatch):
+    """Beyond what the driver takes alone, all labelled rows add up where they lie, to the same model; repeated ids are many rows."""
+    many = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit("\nall rights are kept by the owners\nend"), "doc_id"))).unionByName(docs.where("doc_id < 20"))
+    labelled = many.join(labels, "doc_id").count()
+    seen = []
+    monkeypatch.setattr(quality, "fit_rules", lambda rows, *rest, fit=quality.fit_rules: seen.append(len(rows)) or fit(rows, *rest))
+    alone = quality.train_rules(many, labels)
+    monkeypatch.setattr(quality, "LOCAL_BYTES", 0)
+    spread = quality.train_rules(many, labels)
+    assert seen == [labelled] and len(alone["known"])
+    assert all(np.allclose(alone[k], spread[k], atol=1e-5) for k in ("w", "trans", "min_share"))
+    assert (alone["known"] == spread["known"]).all()
+
+
 def test_crf_blocks_of_long_documents(monkeypatch):
     rng = np.random.default_rng(2)
     rows = [rng.random((n, len(quality.LINE_NAMES))).astype(np.float32) * 0.1 for n in (3000, 1600, 1500, 20, 3, 1)]
