@@ -91,7 +91,8 @@ def _made(docs: DataFrame, labels: DataFrame, make, fields: list[str]) -> DataFr
 
     own = docs.select(_id().alias("doc_id"), "text").selectExpr("doc_id", f"{bit} AS bit", "text")
     made = own.mapInArrow(run, "doc_id string, " + ", ".join(f"{f} binary" for f in fields))
-    return stored(made.join(marks, "doc_id"), "made")
+    # spread anew: one id may have most rows
+    return stored(made.join(marks, "doc_id").hint("rebalance"), "made")
 
 
 def _collected(made: DataFrame, fields: list[str], most: int) -> tuple[list[list[bytes]], np.ndarray] | None:
@@ -381,8 +382,9 @@ def _fit_rules_spread(made: DataFrame, rounds: int = 3, steps: int = 30) -> dict
 
     def rows_of(batch):
         rows = [np.frombuffer(v, np.float32).reshape(-1, len(LINE_NAMES)).copy() for v in batch.column("x").to_pylist()]
-        for x, h in zip(rows, batch.column("hashes").to_pylist()):
-            x[:, LINE_NAMES.index("known")] = np.isin(np.frombuffer(h, np.uint64), shared.value)
+        is_known = np.isin(np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.uint64), shared.value)
+        for x, own in zip(rows, np.split(is_known, np.cumsum([len(x) for x in rows])[:-1])):
+            x[:, LINE_NAMES.index("known")] = own
         return rows
 
     def grouped(model):

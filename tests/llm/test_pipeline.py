@@ -63,3 +63,25 @@ def test_odd_rows(spark, small, tmp_path):
                 assert not docs.where("keep NOT IN ('x', 'y')").count()
         assert (docs.count() > 5) == (before > 0)
         assert {r.doc_id for r in docs.collect()} <= {r[0] for r in rows}
+
+
+def test_many_rows_of_one_id(spark, small, tmp_path, monkeypatch):
+    """The models' fits take no labelled row to the driver beyond ``LOCAL_BYTES``, however many rows repeat a labelled id."""
+    d = tmp_path / "d"
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    labels.write.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    hot = labels.where("quality = 1").agg(F.min("doc_id")).first()[0]
+    more = spark.range(20_000).select(F.lit(hot).alias("doc_id"), F.concat(F.lit("plain words of row number "), F.col("id").cast("string"), F.lit(".")).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(30).cast("long").alias("n_chars"))
+    docs.unionByName(more).write.parquet(f"{d}/documents.parquet")
+
+    def refused(*_):
+        raise AssertionError("rows at the driver")
+
+    monkeypatch.setattr(quality, "fit_rules", refused)
+    monkeypatch.setattr(quality, "fit_ranker", refused)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    monkeypatch.setattr(quality, "LOCAL_BYTES", 1 << 20)
+    # the lines are all different, and so plain that both stages keep the rows
+    for stage in (P.quality_rules, P.quality_classifier):
+        assert stage(spark, docs, str(d)).where(F.col("doc_id") == hot).count() > 19_000
