@@ -85,3 +85,10 @@ def test_many_rows_of_one_id(spark, small, tmp_path, monkeypatch):
     # the lines are all different, and so plain that both stages keep the rows
     for stage in (P.quality_rules, P.quality_classifier):
         assert stage(spark, docs, str(d)).where(F.col("doc_id") == hot).count() > 19_000
+
+
+def test_all_labels_count(spark):
+    ids = spark.range(5000)
+    labels = ids.select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    docs = ids.select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    assert quality.labelled_sample(docs, labels).count() == 5000
