@@ -27,6 +27,8 @@ from .features import GRAMS, NAMES, document_features, gram_shares, line_feature
 
 #: What is made of the labelled rows is fitted on by the driver alone up to so many bytes, beyond it where it lies; the sums are the same.
 LOCAL_BYTES = 1 << 22
+#: Text bytes whose features are made at once: making them takes some 40 times as much memory.
+PART_BYTES = 1 << 20
 #: Tasks whose sums go to the driver at once.
 TASKS = 64
 #: Bits of the bitmap of labelled ids.
@@ -85,7 +87,7 @@ def _made(docs: DataFrame, labels: DataFrame, make, fields: list[str]) -> DataFr
         for batch in batches:
             at = batch.column("bit").to_numpy()
             whole = batch.filter(pa.array((shared.value[at >> 6] >> (at & 63) & 1).astype(bool)))
-            for a, b in blocks(whole.column("text")):
+            for a, b in blocks(whole.column("text"), PART_BYTES):
                 part = whole.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.string()), *[pa.array(c, pa.binary()) for c in make(strings(part.column("text")))]], names=["doc_id", *fields])
 
@@ -398,7 +400,7 @@ def _fit_rules_spread(made: DataFrame, rounds: int = 3, steps: int = 30) -> dict
                 if rows and (batch is None or lines >= FIT_BLOCK):
                     q = np.array(quality, np.int64)
                     for g in _groups(rows, line_states(rows, q, model), q, FIT_BLOCK // 4):
-                        yield pa.RecordBatch.from_arrays([pa.array([np.asarray(a, kind).tobytes()], pa.binary()) for a, kind in zip(g, GROUP_KINDS)], names=["x", "y", "n", "q"])
+                        yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in packed(*g)], names=["x", "y", "n", "q"])
                     rows, quality = [], []
 
         return made.select("quality", "x", "hashes").mapInArrow(run, "x binary, y binary, n binary, q binary")
@@ -411,8 +413,7 @@ def _fit_rules_spread(made: DataFrame, rounds: int = 3, steps: int = 30) -> dict
             def run(f):
                 def each(batch):
                     for row in zip(*[batch.column(c) for c in ("x", "y", "n", "q")]):
-                        x, y, n, q = (np.frombuffer(a.as_buffer(), kind) for a, kind in zip(row, GROUP_KINDS))
-                        yield f(x.reshape(len(n), -1, len(LINE_NAMES)), y.reshape(len(n), -1), n, q)
+                        yield f(*unpacked(*[a.as_buffer() for a in row]))
 
                 return _total(groups, each)
 
@@ -428,8 +429,17 @@ def _fit_rules_spread(made: DataFrame, rounds: int = 3, steps: int = 30) -> dict
     return model | {"known": known, "min_share": np.array(min(least, MIN_CONTENT_SHARE))}
 
 
-#: Types of a stored group's features, states, lines and labels.
-GROUP_KINDS = (np.float32, np.int8, np.int64, np.int64)
+def packed(x: np.ndarray, y: np.ndarray, n: np.ndarray, q: np.ndarray) -> list[bytes]:
+    """A group's features, states, lines and labels as they are stored. Features go one by one and compressed, without loss: every step of the fit reads them."""
+    features = np.ascontiguousarray(x.reshape(-1, len(LINE_NAMES)).T, np.float32)
+    return [pa.compress(features.tobytes(), "zstd", asbytes=True), *[np.asarray(a, kind).tobytes() for a, kind in ((y, np.int8), (n, np.int64), (q, np.int64))]]
+
+
+def unpacked(x, y, n, q) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The group that ``packed`` gave."""
+    y, n, q = np.frombuffer(y, np.int8), np.frombuffer(n, np.int64), np.frombuffer(q, np.int64)
+    raw = np.frombuffer(pa.decompress(x, 4 * len(y) * len(LINE_NAMES), "zstd"), np.float32)
+    return np.ascontiguousarray(raw.reshape(len(LINE_NAMES), -1).T).reshape(len(n), -1, len(LINE_NAMES)), y.reshape(len(n), -1), n, q
 
 
 def _then_none(items):
@@ -460,7 +470,7 @@ def quality_rules(docs: DataFrame, model: dict[str, np.ndarray], text_col: str =
         return {"n_lines": pa.array(lines.astype(np.int32)), "n_content_lines": pa.array((count[ends] - count[starts]).astype(np.int32)), "content_share": pa.array(share, mask=whole == 0), "keep": pa.array((share >= least) & (share > 0))}
 
     fields = [T.StructField("n_lines", T.IntegerType()), T.StructField("n_content_lines", T.IntegerType()), T.StructField("content_share", T.DoubleType()), T.StructField("keep", T.BooleanType())]
-    return add_columns(docs, make, fields, text_col)
+    return add_columns(docs, make, fields, text_col, PART_BYTES)
 
 
 # Bradley-Terry ranking
@@ -647,7 +657,7 @@ def quality_classifier(docs: DataFrame, model: dict, text_col: str = "text") ->
         keep = ~blank if model["threshold"] is None else ~blank & (score >= model["threshold"])
         return {"quality_score": pa.array(score.astype(np.float64), mask=blank), "keep": pa.array(keep)}
 
-    return add_columns(docs, make, [T.StructField("quality_score", T.DoubleType()), T.StructField("keep", T.BooleanType())], text_col)
+    return add_columns(docs, make, [T.StructField("quality_score", T.DoubleType()), T.StructField("keep", T.BooleanType())], text_col, PART_BYTES)
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

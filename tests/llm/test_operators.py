@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -677,6 +678,50 @@ def test_rules_where_they_lie(spark, docs, labels, monkeypatch):
     assert (alone["known"] == spread["known"]).all()
 
 
+def test_stored_groups_are_small(spark, docs, labels, monkeypatch):
+    """What every step of the fit reads again takes less than half of its features' bytes, and is the same when unpacked."""
+    sizes = []
+
+    def total(made, each, run=quality._total):
+        if "y" in made.columns:
+            sizes.append(made.agg(F.sum(F.length("x")), F.sum(F.length("y"))).first())
+        return run(made, each)
+
+    monkeypatch.setattr(quality, "_total", total)
+    monkeypatch.setattr(quality, "LOCAL_BYTES", 0)
+    quality.train_rules(docs, labels)
+    assert sizes and all(x < 2 * len(quality.LINE_NAMES) * y for x, y in sizes)
+    rng = np.random.default_rng(4)
+    group = rng.random((3, 5, len(quality.LINE_NAMES))).astype(np.float32), rng.integers(0, 2, (3, 5)).astype(np.int8), np.array([5, 4, 3]), np.array([0, 1, 1])
+    assert all((a == b).all() and a.shape == b.shape for a, b in zip(group, quality.unpacked(*quality.packed(*group))))
+
+
+@pytest.mark.parametrize("judge", ("rules", "classifier"))
+def test_working_memory_of_quality(spark, docs, judge):
+    """Judging 6 MB of text takes less than 80 MB besides, as features are made of small parts."""
+    held = []
+
+    class Caught:
+        sparkSession, schema = spark, docs.select("text").schema
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    texts = [r.text for r in docs.select("text").where("text IS NOT NULL").collect()]
+    texts *= 1 + 6_000_000 // sum(len(t.encode()) for t in texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    model = quality.prior_model() | {"known": np.zeros(0, np.uint64), "min_share": np.array(0.5)} if judge == "rules" else {"mean": 0.0, "std": 1.0, "w": np.ones(quality.WIDTH), "threshold": None}
+    run = {"rules": quality.quality_rules, "classifier": quality.quality_classifier}[judge](Caught(), model)
+    tracemalloc.start()
+    try:
+        for out in run(iter([batch])):
+            held.append(out.num_rows)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(held) == len(texts) and most < 80e6, most
+
+
 def test_crf_blocks_of_long_documents(monkeypatch):
     rng = np.random.default_rng(2)
     rows = [rng.random((n, len(quality.LINE_NAMES))).astype(np.float32) * 0.1 for n in (3000, 1600, 1500, 20, 3, 1)]
