@@ -333,3 +333,48 @@ def test_report_and_rankings(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "r").iterdir()) == ["bm25_retrieved", "context", "metadata", "prompt", "response", "retrieved_documents"]
     sinks.write_rankings(str(tmp_path / "s"), bm25=one, dense=one, sum=one, rrf=one)
     assert len(list((tmp_path / "s").iterdir())) == 4
+
+
+def test_chains_counts_and_trees_by_brute_force(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(5)
+    dag = {(a, b) for a in range(12) for b in range(a + 1, 12) if rng.random() < 0.35}
+    cyclic = {(a, b) for a in range(20, 27) for b in range(20, 27) if rng.random() < 0.35} | {(20, 21), (21, 20), (40, 41)}
+    calls, roots = sorted(dag | cyclic), (0, 3, 20, 40, 41)
+
+    def walk(path, most):
+        after = [b for a, b in calls if a == path[-1] and b not in path] if len(path) < most else []
+        return [p for b in after for p in walk([*path, b], most)] if after else [path] if len(path) > 1 else []
+
+    df, start = spark.createDataFrame(calls, "caller long, callee long"), spark.createDataFrame([(r,) for r in roots], "root long")
+    places = spark.createDataFrame([(k, f"f{k}", k) for k in range(30)], "name long, file string, line long")
+    for most in (1, 2, 4, 1000):
+        want = [tuple(p) for r in roots for p in walk([r], most)]
+        got = callgraph.chains(df, start, most, places).collect()
+        assert sorted(tuple(r.path) for r in got) == sorted(want) and all(r.depth == len(r.path) - 1 and r.root == r.path[0] for r in got)
+        assert all(r.located == "->".join(f"f{k},{k}" if k < 30 else "?,?" for k in r.path) for r in got)
+        many = Counter(p[0] for p in want)
+        assert sorted(callgraph.counted(df, start, most).collect()) == sorted((r, n, max(len(p) - 1 for p in want if p[0] == r)) for r, n in many.items())
+        assert sorted(callgraph.tree(df, start, most).collect()) == sorted({(p[0], a, b) for p in want for a, b in zip(p, p[1:])})
+
+
+def test_chains_beyond_the_recursion_limit(spark):
+    spark.conf.set("spark.sql.cteRecursionRowLimit", 100)
+    try:
+        calls = spark.range(1, 400).selectExpr("id div 2 AS caller", "id AS callee").where("caller > 0")
+        root = spark.range(1, 2).toDF("root")
+        assert callgraph.chains(calls, root).count() == 200
+        assert callgraph.counted(calls, root).collect() == [(1, 200, 8)]
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
+def test_reachability_plan_stays_small(spark):
+    """A round's plan has nothing of the rounds before: neither their operators nor the constraints of their rows."""
+    calls = spark.range(1, 9).selectExpr("id AS caller", "id + 1 AS callee")
+    found = callgraph.reachable(calls, spark.range(1, 2).toDF("root"))
+    assert found.count() == 9
+    found = found.where("depth > 1 AND node > 2")
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 1000
