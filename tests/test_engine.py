@@ -378,3 +378,11 @@ def test_reachability_plan_stays_small(spark):
     assert found.count() == 9
     found = found.where("depth > 1 AND node > 2")
     assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 1000
+
+
+def test_files_are_decoded_once(spark, small):
+    from sparquill.plans import catalog
+
+    plan = catalog.QUERIES["src_files"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("Generate ")
+    assert below and "is_valid_utf8" not in above.lower().replace("isvalidutf8", "is_valid_utf8") and "ISO-8859-1" not in above and "(..)" not in plan
