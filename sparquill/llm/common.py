@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -10,44 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import ship
-
-#: Text bytes handled at once as Python strings.
-BLOCK_BYTES = 1 << 21
-
-
-def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
-    """One ``string`` array (32-bit offsets fit: an Arrow batch holds less than 2 GB)."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column if column.type == pa.string() else column.cast(pa.string())
-
-
-def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and bytes of a string array; null rows are empty."""
-    column = strings(column)
-    if column.null_count:
-        column = column.fill_null("")
-    n, first = len(column), column.offset
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[first : first + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
-    data = column.buffers()[2]
-    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    raw = raw[offsets[0] : offsets[-1]]
-    return offsets - offsets[0], raw
-
-
-def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges whose texts (or lists) take up to ``limit`` bytes; a longer one stands alone, whole."""
-    if pa.types.is_list(column.type):
-        offsets = column.offsets.to_numpy().astype(np.int64) * 8
-    else:
-        offsets, _ = utf8(column)
-    n, at = len(offsets) - 1, 0
-    while at < n:
-        end = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
-        end = min(max(end, at + 1), n)
-        yield at, end
-        at = end
+from ..runtime import BLOCK_BYTES, blocks, ship, strings, utf8  # noqa: F401  (operators take them from here)
 
 
 class Ids(dict):
