@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import blocks
+
+#: Text bytes that a provider gets at once.
+PART_BYTES = 1 << 20
+
 
 class EmbeddingProvider(Protocol):
     dimension: int
@@ -65,9 +70,12 @@ def embed(text: Column, provider: str = "hash") -> Column:
     """Vectors of texts; a null or blank text has the zero vector."""
     make = _EMBEDDINGS[provider]
 
-    @F.pandas_udf("array<float>")
-    def udf(col: pd.Series) -> pd.Series:
-        return pd.Series(list(make().embed([x if isinstance(x, str) else "" for x in col])))
+    @F.arrow_udf("array<float>")
+    def udf(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = make()
+        for texts in _parts(columns):
+            out = np.asarray(model.embed(texts), np.float32)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
 
     return udf(text)
 
@@ -75,13 +83,22 @@ def embed(text: Column, provider: str = "hash") -> Column:
 def complete(prompt: Column, provider: str = "extractive") -> Column:
     make = _MODELS[provider]
 
-    @F.pandas_udf("string")
-    def udf(col: pd.Series) -> pd.Series:
-        return pd.Series(make().complete([x if isinstance(x, str) else "" for x in col]))
+    @F.arrow_udf("string")
+    def udf(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = make()
+        for prompts in _parts(columns):
+            yield pa.array(model.complete(prompts), pa.string())
 
     return udf(prompt)
 
 
+def _parts(columns: Iterator[pa.Array]) -> Iterator[list[str]]:
+    """Texts, nulls as empty ones, so many at once as take ``PART_BYTES``: what a worker holds doesn't grow with the Arrow batch."""
+    for column in columns:
+        for a, b in blocks(column, PART_BYTES):
+            yield [x or "" for x in column.slice(a, b - a).to_pylist()]
+
+
 def embed_missing(chunks: DataFrame, cached: DataFrame, provider: str = "hash") -> DataFrame:
     """Embeddings of the chunks that ``cached(chunk_id, vec)`` lacks; append them to it."""
     todo = chunks.join(cached.select("chunk_id"), "chunk_id", "left_anti")
