@@ -386,3 +386,79 @@ def test_files_are_decoded_once(spark, small):
     plan = catalog.QUERIES["src_files"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     above, _, below = plan.partition("Generate ")
     assert below and "is_valid_utf8" not in above.lower().replace("isvalidutf8", "is_valid_utf8") and "ISO-8859-1" not in above and "(..)" not in plan
+
+
+def test_a_task_gives_the_best_alone(spark):
+    """What a task of a search holds and gives is ``top_k`` a query, however many Arrow batches it gets."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        docs = spark.range(200, numPartitions=1).selectExpr("id AS doc_id", "split(concat('a b w', id % 7, ' ', repeat('c ', CAST(id % 5 AS INT))), ' ') AS tokens")
+        asked = spark.createDataFrame([(1, "a", 1), (2, "c", 1), (2, "w3", 2)], "query_id int, token string, times long")
+        found = retrieval._by_blocks(docs, asked, 3, 1.2, 0.0, False)
+        assert found.count() == 6
+        vecs = spark.range(200, numPartitions=1).selectExpr("id AS doc_id", "array(CAST(id % 11 AS FLOAT), CAST(id % 3 AS FLOAT)) AS vec")
+        near = retrieval.knn(vecs, vecs.where("doc_id < 4").withColumnRenamed("doc_id", "query_id"), 3)
+        assert "Join" not in near._jdf.queryExecution().executedPlan().toString()
+        want = []
+        for q in range(4):
+            best = sorted((-float((q % 11) * (k % 11) + (q % 3) * (k % 3)), k) for k in range(200))[:3]
+            want += [(q, k, -s, n + 1) for n, (s, k) in enumerate(best)]
+        assert sorted(tuple(r) for r in near.collect()) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_best_is_bounded_and_exact(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(retrieval, "PART_HITS", 50)
+    rng = np.random.default_rng(1)
+    scores, ids = rng.integers(0, 30, (5, 4000)).astype(float), rng.permutation(4000)
+    best = retrieval.Best(5, 4, pa.int64(), pa.string())
+    for k in range(0, 4000, 7):
+        best.add(0, pa.array([f"{i:05}" for i in ids[k : k + 7]]), scores[:2, k : k + 7])
+        best.add(2, pa.array([f"{i:05}" for i in ids[k : k + 7]]), scores[2:, k : k + 7])
+        assert best.found.num_rows <= 20 and best.many < 50 + 5 * 7
+    got = sorted((r["query_id"], -r["score"], r["doc_id"]) for b in best.batches([10, 11, 12, 13, 14]) for r in b.to_pylist())
+    assert got == sorted(x for q in range(5) for x in sorted((q + 10, -s, f"{i:05}") for s, i in zip(scores[q], ids))[:4])
+
+
+def test_queries_beyond_a_broadcast_go_in_groups(spark, monkeypatch):
+    vecs = spark.range(300, numPartitions=3).selectExpr("id AS doc_id", "array(CAST(id % 17 AS FLOAT), CAST(id % 5 AS FLOAT)) AS vec")
+    asked = vecs.where("doc_id % 10 = 0").withColumnRenamed("doc_id", "query_id")
+    whole = sorted(tuple(r) for r in retrieval.knn(vecs, asked, 3, 4, True).collect())
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 100)
+    parts = retrieval.knn(vecs, asked, 3, 4, True)
+    assert sorted(tuple(r) for r in parts.collect()) == whole and len(whole) == 90
+
+
+def test_providers_get_parts_of_a_batch(spark):
+    """Texts go to a provider about a megabyte at once, whatever the Arrow batch."""
+
+    class Checked(providers.HashEmbedding):
+        def embed(self, texts):
+            assert sum(map(len, texts)) <= 1 << 20
+            return super().embed(texts)
+
+        def complete(self, prompts):
+            assert sum(map(len, prompts)) <= 1 << 20
+            return [p[:1] for p in prompts]
+
+    providers.register_embedding("checked", Checked)
+    providers.register_model("checked", Checked)
+    texts = spark.range(40, numPartitions=1).selectExpr("id", "IF(id = 7, NULL, repeat('ab', 50000)) AS t")
+    got = texts.select("id", providers.embed(F.col("t"), "checked").alias("v"), providers.complete(F.col("t"), "checked").alias("c")).orderBy("id").collect()
+    assert all(any(r.v) == (r.id != 7) and r.c == ("" if r.id == 7 else "a") for r in got) and len(got) == 40
+
+
+def test_tokens_of_a_document_are_not_shuffled_to_be_chunked(spark, small):
+    from sparquill.functions.code_tokens import listed, tokenize
+    from sparquill.plans import catalog
+
+    docs = spark.createDataFrame([(1, "ab c\nd", "unknown"), (2, None, "python"), (3, "", None), (4, "def f():\n  g()\n", "python"), (1, "x", None)], "doc_id int, text string, programming_language string")
+    got = [(r.doc_id, [tuple(t) for t in r.tokens]) for r in listed(docs).collect()]
+    assert sorted(got) == [(1, [("ab", 0, 0), ("c", 0, 3), ("d", 1, 0)]), (1, [("x", 0, 0)]), (2, []), (3, []), (4, [("[FUNCDEF]f", 0, 4), ("[CALL]g", 1, 2)])]
+    assert sorted((r.doc_id, r.token, r.line, r.col) for r in tokenize(docs).collect()) == sorted((i, *t) for i, ts in got for t in ts)
+    plan = catalog.QUERIES["ch_code_tokens"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
