@@ -5,11 +5,18 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from ..runtime import ship
+from ..runtime import blocks, ship
 from .chunks import SEPARATORS
 
+#: Text bytes whose chunks a worker holds at once.
+PART_BYTES = 1 << 19
 #: Units a chunk is extended by, at most, to finish a token.
 LOOK_AHEAD = 100
 _LINES = re.compile("\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")
@@ -99,17 +106,26 @@ def split_code_chunks(docs: DataFrame, size: int = 256, overlap: int = 0, split_
     """Chunks of ``(doc_id, text, tokens)``, ``tokens`` being an array of (token, line, col) or null."""
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(frames):
-        import pandas as pd
-
-        for f in frames:
-            rows = []
-            for i, t, k in zip(f["doc_id"], f["text"], f["tokens"]):
-                found = [(x["token"], x["line"], x["col"]) for x in (k if k is not None else [])]
-                for c in code_chunks(t, found, size, overlap, split_by) if t else []:
-                    c["tokens"] = [{"token": a, "line": b, "col": d} for a, b, d in c["tokens"]]
-                    rows.append({"doc_id": i, **c})
-            yield pd.DataFrame(rows, columns=["doc_id", *[x.split(" ")[0] for x in _SCHEMA.split(", ")]])
-
-    return docs.select("doc_id", "text", "tokens").mapInPandas(run, f"doc_id {kind}, {_SCHEMA}")
+    *plain, _ = StructType.fromDDL(_SCHEMA)
+    item = [pa.field("token", pa.string()), pa.field("line", pa.int32()), pa.field("col", pa.int32())]
+
+    def run(batches):
+        for batch in batches:
+            for a, b in blocks(batch.column(1), PART_BYTES):
+                part = batch.slice(a, b - a)
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(part.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)).tolist()
+                flat = pc.list_flatten(part.column(2))
+                # by column: a Python object for each field of each token takes most of the time
+                tokens = list(zip(*[pc.struct_field(flat, f.name).to_numpy(zero_copy_only=False).tolist() for f in item]))
+                at, rows = [], []
+                for k, (text, start, end) in enumerate(zip(part.column(1).to_pylist(), [0, *ends], ends)):
+                    own = code_chunks(text, tokens[start:end], size, overlap, split_by) if text else []
+                    at += [k] * len(own)
+                    rows += own
+                mine = [t for c in rows for t in c["tokens"]]
+                columns = zip(*mine) if mine else ((),) * 3
+                cuts = pa.array(np.concatenate(([0], np.cumsum([len(c["tokens"]) for c in rows]))).astype(np.int32))
+                listed = pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(columns, item)], fields=item))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *[pa.array([c[f.name] for c in rows], to_arrow_type(f.dataType)) for f in plain], listed], names=["doc_id", *[f.name for f in plain], "tokens"])
+
+    return docs.select("doc_id", "text", "tokens").mapInArrow(run, f"doc_id {kind}, {_SCHEMA}")
